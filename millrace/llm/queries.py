@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, chat, linededup, packing, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_packing": packing.op4_packing,
     "op6_bpe": bpe.op6_bpe,
+    "op7_quality": quality.op7_quality,
+    "op8_chat": chat.op8_chat,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_line_dedup": linededup.ORACLE}
