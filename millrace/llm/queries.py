@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, linededup, packing, quality, toxicity
+from . import bpe, chat, embeddingdedup, linededup, neighbours, packing, quality, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_packing": packing.op4_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
     "op8_chat": chat.op8_chat,
+    "op9_embedding_dedup": embeddingdedup.op9_embedding_dedup,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLE: dict[str, str] = {"op10_line_dedup": linededup.ORACLE}
