@@ -42,6 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: So many ids are broadcast at most (8 MB); more are joined by a shuffle.
+MOST_IDS = 1_000_000
+
+
+def matching(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+    """Semi or anti join of wide rows with a table of ids, without shuffling the rows where the ids are few."""
+    ids = written(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, column, how)
+
+
 def fold(column, modulus: int):
     """crc32 of the id's text, modulo."""
     return F.crc32(column.cast("string")) % modulus

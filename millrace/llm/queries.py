@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddingdedup, linededup, neighbours, packing, quality, toxicity
+from . import bpe, chat, embeddingdedup, jaccard, linededup, neighbours, packing, quality, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_neighbours": neighbours.op3_neighbours,
     "op4_packing": packing.op4_packing,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
     "op8_chat": chat.op8_chat,
