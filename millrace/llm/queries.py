@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddingdedup, jaccard, linededup, neighbours, packing, quality, toxicity
+from . import bpe, chat, embeddingdedup, jaccard, linededup, neighbours, packing, quality, suffixdedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": suffixdedup.op2_suffix_dedup,
     "op3_neighbours": neighbours.op3_neighbours,
     "op4_packing": packing.op4_packing,
     "op5_jaccard": jaccard.op5_jaccard,
