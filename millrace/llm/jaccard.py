@@ -293,5 +293,11 @@ def classes(documents: DataFrame, width: int = 4, percent: int = 85, above: int
     return keyed.join(least, ["n", "key"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of the smallest id in each class of near duplicates; rows without tokens or id stay."""
+    found = classes(documents, width, percent)
+    return matching(documents, found.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
+
+
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

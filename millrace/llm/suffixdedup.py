@@ -369,6 +369,44 @@ def removed(documents: DataFrame, width: int = 100, heavy: int = HEAVY) -> DataF
     return _beside(texts, found, "bytes", "left").select("doc_id", "text", "spans")
 
 
+def without_repeats(documents: DataFrame, width: int = 100, heavy: int = HEAVY) -> DataFrame:
+    """The rows with repeated text taken out of `text`, in whole characters (one that is repeated in part only stays), and n_chars, where there is such a column, counted anew. All rows and columns stay."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    found = written(spans(texts, width, heavy).withColumn("bytes", 24 + 24 * F.size("spans")), "spans").withColumnsRenamed({"spans": "__spans", "bytes": "__bytes"})
+    schema, where, n = documents.schema, documents.columns.index("text"), len(documents.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [cut_out(t, _merged(own, len(t.encode()), width)) if own and t else t for t, own in zip(batch.column(where).to_pylist(), batch.column(n).to_pylist())]
+            columns = [batch.column(k) for k in range(n)]
+            columns[where] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    joined = _beside(documents, found, "__bytes", "left").select(*documents.columns, "__spans")
+    return counted(joined.mapInArrow(run, schema))
+
+
+def counted(documents: DataFrame) -> DataFrame:
+    """The rows with n_chars, where there is such a column, as the text's length; null texts keep theirs."""
+    if "n_chars" not in documents.columns:
+        return documents
+    kind = documents.schema["n_chars"].dataType
+    return documents.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))
+
+
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without byte spans, which are narrowed to whole characters."""
+    raw, kept, at = text.encode(), [], 0
+    for a, b in spans:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(raw[at:a])
+        at = b
+    return (b"".join(kept) + raw[at:]).decode()
+
+
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     width = 100

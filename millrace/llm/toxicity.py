@@ -125,11 +125,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.
         for batch in slices(batches):
             scores, found = [], []
             for text in batch.column(1).to_pylist():
-                clean = 0.0
-                for s in SENTENCES.findall(text or ""):
-                    z = logit(s)
-                    clean -= z + log1p(exp(-z)) if z > 0 else log1p(exp(z))
-                p = -expm1(clean)
+                p = -expm1(-sum(log1p(exp(logit(s))) for s in SENTENCES.findall(text or "")))
                 scores.append(p)
                 spans = []
                 if p >= cut:
@@ -144,6 +140,26 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>")
 
 
+def clean(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below `cut`."""
+    weight, bias = model[0].astype(np.float32), model[1]
+    where = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from math import exp, expm1, log1p
+
+        memo = Bounded(lambda x: float(weight[list(features(w))].sum()) if (w := bare(x)) else 0.0)
+        get = memo.__getitem__
+        for batch in slices(batches):
+            keep = []
+            for text in batch.column(where).to_pylist():
+                whole = sum(log1p(exp(max(-40.0, min(40.0, bias + sum(map(get, s.split())))))) for s in SENTENCES.findall(text or ""))
+                keep.append(-expm1(-whole) < cut)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST) -> tuple[np.ndarray, float]:
     kinds = {r[0]: r[1] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     share = kinds.get(1, 0) / max(1, sum(kinds.values()))
