@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 class Tokenised:
     """Little-endian ids of whole texts by the tokenizers library, with a bounded memo for stretches without white space."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,16 +48,13 @@ class Tokenised:
 
         parts = [(BLANKS.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
         memo = self.memo
-        new = list({s for p in parts for s in p if s not in memo})
-        if not new:
-            return [b"".join([memo[s] for s in p]) for p in parts]
-        # without offsets, which are most of the work
-        fresh = {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        for s in new[: max(0, self.most - len(memo))]:
-            memo[s] = fresh[s]
-        if len(memo) < self.most:
-            return [b"".join([memo[s] for s in p]) for p in parts]
-        return [b"".join([memo[s] if s in memo else fresh[s] for s in p]) for p in parts]
+        new = list(set(chain.from_iterable(parts)).difference(memo.keys()))
+        if new:  # encoded without offsets, which are most of the work
+            memo.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]))
+        out = [b"".join(map(memo.__getitem__, p)) for p in parts]
+        for s in new[max(0, len(new) - max(0, len(memo) - self.most)) :]:
+            del memo[s]
+        return out
 
 
 _LOADED: dict[str, Tokenised] = {}
