@@ -7,7 +7,7 @@ is shared, or, frequent tokens being dealt into B classes by hash, two of one cl
 follows from a tier of the sets' sizes; a set takes part in the tier of every smaller size that it may be linked with.
 
 Documents that share a signature meet at a centre, the one with the smallest share of rare tokens. The documents of a centre are compared in tiles (pairs of blocks of
-bounded size) twice: by bitmaps of fixed size, which bound the overlap from above, and then, those with a pair left, by their whole sets. Tiles give links to a
+bounded size) by bitmaps of fixed size, which bound the overlap from above. What may still be linked falls into classes, and the documents of a class are compared in tiles by their whole sets. Tiles give links to a
 spanning root, never all pairs; so every link is found, or its ends are connected by others that were.
 
 Documents with equal sets are one before all this. Null and empty texts have no tokens and link with nothing. Repeated rows (same id and text) are one class and give a row each;
@@ -16,8 +16,8 @@ ids are taken to be unique otherwise. Rows with a null id are left out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +29,13 @@ from .common import Bounded, matching, slices, written
 from .components import components
 from .neighbours import groups
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: What Python's split() takes for blanks beside \x20 and \x09-\x0D.
-ODD_BLANK = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Lower case for A-Z alone, in UTF-8.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SKETCH_BITS, BLOCK_BITS, BITMAP = 20, 12, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hash(word: str) -> int:
+def _word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
@@ -46,24 +44,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def tokens(text: str | None, width: int, memo: Bounded) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles of `width` words; the whole sequence where it has fewer."""
-    text = (text or "").translate(LOWER) if text and not text.islower() else text or ""
-    words = WORD.findall(text) if ODD_BLANK.search(text) else text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), np.uint64)
-    for k in range(min(width, len(h))):
-        out = _mixed(out * _MIX + h[k : k + n])
-    return np.unique(out)
+def token_sets(texts: list[str | None], width: int, memo: Bounded) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its shingles of `width` words; of the whole sequence where it has fewer words."""
+    words = [(t or "").encode().translate(LOWER).split() for t in texts]  # bytes part at blanks of ASCII alone
+    sizes = [len(w) for w in words]
+    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
+    rolled = _shingled(h, width)
+    out, at = [], 0
+    for n in sizes:
+        if n >= width:
+            s = np.sort(rolled[at : at + n - width + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        else:
+            out.append(_shingled(h[at : at + n], n) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
+
+
+def _shingled(h: np.ndarray, width: int) -> np.ndarray:
+    out = np.full(max(0, len(h) - width + 1), width, np.uint64)
+    for k in range(width):
+        out = _mixed(out * _MIX + h[k : k + len(out)])
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
     memo = Bounded(_word_hash)
     for batch in slices(batches):
-        yield batch, [tokens(t, width, memo) for t in batch.column(1).to_pylist()]
+        yield batch, token_sets(batch.column(1).to_pylist(), width, memo)
 
 
 def described(documents: DataFrame, width: int) -> DataFrame:
@@ -113,10 +121,9 @@ def _tiers(n: int, percent: int) -> range:
 def signatures(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     """Distinct signatures of a set."""
     n = len(s)
-    common = often[s >> np.uint64(64 - SKETCH_BITS)]
-    hashed = _mixed(s)
-    order = np.lexsort((hashed, common))
-    s, common, hashed = s[order], common[order], hashed[order]
+    # hashes of 63 bits below the class, so one sort gives the global order
+    hashed = np.sort((_mixed(s) >> np.uint64(1)) | (often[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(63)))
+    common = hashed >> np.uint64(63) > 0
     least = -(-n * percent // 100)
     prefix = n - least + 1
     out = []
@@ -199,29 +206,25 @@ def _pairs(i, j, side, n, percent: int):
 
 
 def _bitmap_pass(tiles: DataFrame, percent: int) -> DataFrame:
-    """centre, doc_id of documents that may be linked with another of the centre."""
+    """a, b: links to the smallest document of what may be linked in a tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], []]
-        for (centre, i, j), (side, ids, n, maps) in groups(batches, 3):
+        for (_, i, j), (side, ids, n, maps) in groups(batches, 3):
             bits = np.unpackbits(np.frombuffer(b"".join(maps), np.uint8).reshape(len(maps), -1), axis=1).astype(np.float32)
             ones = bits.sum(axis=1)
-            hit = np.zeros(len(ids), bool)
+            a, b = [], []
             for x, y in _pairs(i, j, side, n, percent):
                 differ = ones[x][:, None] + ones[y][None, :] - 2 * (bits[x] @ bits[y].T)
                 total = n[x][:, None] + n[y][None, :]
                 most = np.minimum(np.floor((total - differ) / 2), np.minimum(n[x][:, None], n[y][None, :]))
-                may = (100 + percent) * most >= percent * total
-                may &= ids[x][:, None] != ids[y][None, :]
-                hit[x[may.any(axis=1)]] = True
-                hit[y[may.any(axis=0)]] = True
-            if hit.any():
-                out[0].append(np.full(hit.sum(), centre))
-                out[1].append(ids[hit])
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["centre", "doc_id"])
+                p, q = np.nonzero(((100 + percent) * most >= percent * total) & (ids[x][:, None] != ids[y][None, :]))
+                a.append(x[p])
+                b.append(y[q])
+            if a and sum(map(len, a)):
+                node, root = _linked(np.concatenate(a), np.concatenate(b), ids)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
 
-    return tiles.mapInArrow(run, "centre long, doc_id long")
+    return tiles.mapInArrow(run, "a long, b long")
 
 
 def _exact_pass(tiles: DataFrame, percent: int) -> DataFrame:
@@ -281,13 +284,14 @@ def classes(documents: DataFrame, width: int = 4, percent: int = 85, above: int
     centres = few.groupBy("signature").agg(F.min(F.struct("rank", "doc_id")).alias("c")).select("signature", F.col("c.doc_id").alias("centre"))
     members = written(few.join(centres, "signature").select("centre", "doc_id").distinct(), "members")
     maps = parts.where("doc_id is not null").select("doc_id", "n", "map").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    active = written(_bitmap_pass(_tiles(members.join(maps, "doc_id"), block, "n", "map"), percent).distinct(), "active")
+    # what may be linked falls into classes, of which each document has one
+    active = written(components(_bitmap_pass(_tiles(members.join(maps, "doc_id"), block, "n", "map"), percent)).select(F.col("component").alias("centre"), F.col("node").alias("doc_id")), "active")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "tokens"])
 
-    full = matching(whole, active.select("doc_id").distinct(), "left_semi").mapInArrow(whole_sets, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"])
+    full = matching(whole, active.select("doc_id"), "left_semi").mapInArrow(whole_sets, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"])
     found = components(_exact_pass(_tiles(active.join(full, "doc_id"), block, "n", "tokens"), percent))
     least = heads.join(found, F.col("doc_id") == F.col("node"), "left").select("n", "key", F.coalesce("component", "doc_id").alias("component_id"))
     return keyed.join(least, ["n", "key"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
