@@ -29,8 +29,6 @@ from .common import slices, written
 from .lyndon import suffix_order
 
 GRAM, SEGMENT = 32, 1 << 19
-#: A table of at most so many bytes is broadcast; a larger one is joined by a shuffle.
-MOST_BYTES = 48_000_000
 HEAVY = 2000
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -313,12 +311,6 @@ def _digested(contexts: DataFrame, width: int) -> DataFrame:
     return contexts.mapInArrow(run, "key binary, doc_id long, at long")
 
 
-def _beside(rows: DataFrame, table: DataFrame, bytes_of: str, how: str) -> DataFrame:
-    """Join of texts with a table by doc_id, which is broadcast where its size, the sum of `bytes_of`, is small."""
-    size = table.agg(F.sum(bytes_of)).first()[0] or 0
-    return rows.join(F.broadcast(table) if size <= MOST_BYTES else table, "doc_id", how)
-
-
 def spans(documents: DataFrame, width: int, heavy: int = HEAVY) -> DataFrame:
     """doc_id and spans (array of at, windows): the windows of each document that also start earlier. documents: doc_id and text."""
     dealt = records(documents, width).repartition("anchor").sortWithinPartitions("anchor", "bytes", "doc_id", "at")
@@ -326,7 +318,7 @@ def spans(documents: DataFrame, width: int, heavy: int = HEAVY) -> DataFrame:
     open_ = found.where(F.col("kind") == OPEN)
     many = written(open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("anchor"), "heavy")
     marked = open_.join(many.withColumn("heavy", F.lit(True)), "anchor", "left").select("anchor", "doc_id", "at", "windows", F.coalesce("heavy", F.lit(False)).alias("heavy"))
-    wanted = written(marked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "windows", "heavy")).alias("wanted")).withColumn("bytes", 24 + 32 * F.size("wanted")), "wanted")
+    wanted = written(marked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "windows", "heavy")).alias("wanted")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -339,7 +331,7 @@ def spans(documents: DataFrame, width: int, heavy: int = HEAVY) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["anchor", "doc_id", "at", "windows", "context", "heavy"])
 
-    texts = _beside(documents, wanted, "bytes", "inner").select("doc_id", "text", "wanted")
+    texts = documents.join(wanted, "doc_id").select("doc_id", "text", "wanted")
     contexts = written(texts.mapInArrow(run, "anchor long, doc_id long, at long, windows int, context binary, heavy boolean"), "contexts")
     columns = ["anchor", "doc_id", "at", "windows", "context"]
     ordered = _ordered(contexts.where("not heavy").select(columns).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at"), width)
@@ -365,14 +357,13 @@ def _merged(own, size: int, width: int) -> list[tuple[int, int]]:
 def removed(documents: DataFrame, width: int = 100, heavy: int = HEAVY) -> DataFrame:
     """doc_id, text (whole), spans: array of (start, end) in bytes, maximal and in order, of what repeats earlier text."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    found = written(spans(texts, width, heavy).withColumn("bytes", 24 + 24 * F.size("spans")), "spans")
-    return _beside(texts, found, "bytes", "left").select("doc_id", "text", "spans")
+    return texts.join(spans(texts, width, heavy), "doc_id", "left").select("doc_id", "text", "spans")
 
 
 def without_repeats(documents: DataFrame, width: int = 100, heavy: int = HEAVY) -> DataFrame:
     """The rows with repeated text taken out of `text`, in whole characters (one that is repeated in part only stays), and n_chars, where there is such a column, counted anew. All rows and columns stay."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    found = written(spans(texts, width, heavy).withColumn("bytes", 24 + 24 * F.size("spans")), "spans").withColumnsRenamed({"spans": "__spans", "bytes": "__bytes"})
+    found = spans(texts, width, heavy).withColumnRenamed("spans", "__spans")
     schema, where, n = documents.schema, documents.columns.index("text"), len(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +373,7 @@ def without_repeats(documents: DataFrame, width: int = 100, heavy: int = HEAVY)
             columns[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    joined = _beside(documents, found, "__bytes", "left").select(*documents.columns, "__spans")
+    joined = documents.join(found, "doc_id", "left").select(*documents.columns, "__spans")
     return counted(joined.mapInArrow(run, schema))
 
 
