@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,15 @@ from .common import slices, tokenizer_file, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
 
 
+PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+#: Letters below this are their own composition and have a lower case of their own; the dotted capital I has not.
+LATIN, DOTTED = "\u0180", "\u0130"
+
+
 class Tokenised:
     """Little-endian ids of whole texts by the tokenizers library, with a bounded memo for stretches without white space."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,19 +45,47 @@ class Tokenised:
         self.library.no_truncation()
         self.library.no_padding()
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.most = memo
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         from .bpe import BLANKS, SEPARATORS
 
         parts = [(BLANKS.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        memo = self.memo
-        new = list(set(chain.from_iterable(parts)).difference(memo.keys()))
-        if new:  # encoded without offsets, which are most of the work
-            memo.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]))
-        out = [b"".join(map(memo.__getitem__, p)) for p in parts]
-        for s in new[max(0, len(new) - max(0, len(memo) - self.most)) :]:
-            del memo[s]
+        get = self.memo.get
+        found = [list(map(get, p)) for p in parts]
+        gaps = [[k for k, x in enumerate(f) if x is None] for f in found]
+        fresh = self._fresh({p[k] for p, g in zip(parts, gaps) for k in g})
+        for p, f, g in zip(parts, found, gaps):
+            for k in g:
+                f[k] = fresh[p[k]]
+        return [b"".join(f) for f in found]
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of stretches that the memo doesn't have; it takes them in while it has room."""
+        memo, words = self.memo, self.words
+        out: dict[str, bytes] = {}
+        parted: dict[str, tuple[str, str]] = {}
+        for s in new:  # letters with punctuation behind are two pieces for the vocabulary's pattern, and letters have one case
+            base = s.rstrip(PUNCTUATION)
+            if base.isalpha() and max(base) < LATIN and DOTTED not in base:
+                parted[s] = (base.lower(), s[len(base) :])
+        ask = list((new - parted.keys()) | {x for pair in parted.values() for x in pair if x and x not in words})
+        # encoded without offsets, which are most of the work
+        got = dict(zip(ask, [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(ask, add_special_tokens=False)])) if ask else {}
+        for s in new:
+            if s in parted:
+                out[s] = b"".join([words[x] if x in words else got[x] for x in parted[s] if x])
+            else:
+                out[s] = got[s]
+        room = self.most - len(memo)
+        if room > 0:
+            memo.update(list(out.items())[:room])
+        pieces = {x for pair in parted.values() for x in pair if x and x in got}
+        for x in pieces:
+            if len(words) >= self.most:
+                break
+            words[x] = got[x]
         return out
 
 
