@@ -69,8 +69,8 @@ def _shingled(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
-    memo = Bounded(_word_hash)
-    for batch in slices(batches):
+    memo = Bounded(_word_hash, 150_000)
+    for batch in slices(batches, 250):
         yield batch, token_sets(batch.column(1).to_pylist(), width, memo)
 
 
@@ -83,7 +83,8 @@ def described(documents: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int32)
         for batch, sets in _sets(batches, width):
-            total += np.bincount(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - SKETCH_BITS), minlength=cells).astype(np.int32)
+            cell, often = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            total[cell.astype(np.int64)] += often.astype(np.int32)
             key = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             none = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), key, pa.array([bitmap(s) for s in sets], pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
