@@ -5,7 +5,7 @@ noisy-or of its sentences, 1 - prod(1 - p), and the word weights are fitted to t
 where the offence is.
 
 Fitting takes a bounded sample of labelled rows (`most`, half of each label, the smallest by a hash of the id; texts over `longest` characters stay out of it). Scoring takes whole texts of all rows.
-Null and empty texts have no sentence and score 0. Rows that repeat get the same score. Without labelled rows of both kinds every score is 0.
+Null and empty texts have no sentence and score 0. Rows that repeat get the same score. Without labelled rows of both kinds every score is 0 but for rounding.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.
         for batch in slices(batches):
             scores, found = [], []
             for text in batch.column(1).to_pylist():
-                p = -expm1(-sum(log1p(exp(logit(s))) for s in SENTENCES.findall(text or "")))
+                p = abs(expm1(-sum(log1p(exp(logit(s))) for s in SENTENCES.findall(text or ""))))
                 scores.append(p)
                 spans = []
                 if p >= cut:
