@@ -149,3 +149,14 @@ def dedup(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
 
 def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label, by a plain join.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS size FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(max(k.n), 0) AS n_links, min(r.c) AS component_id, v.vec_id = min(r.c) AS kept FROM v JOIN r ON r.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id GROUP BY v.vec_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_embedding_dedup": embeddingdedup.op9_embedding_dedup,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
-ORACLE: dict[str, str] = {"op10_line_dedup": linededup.ORACLE}
+ORACLE: dict[str, str] = {"op5_jaccard": jaccard.ORACLE, "op9_embedding_dedup": embeddingdedup.ORACLE, "op10_line_dedup": linededup.ORACLE}
