@@ -133,16 +133,16 @@ def find_path(edges: DataFrame, source: Node, target: Node, max_hops: int = 8, d
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
-    """Every (table, id) within `hops` of the seeds and its distance, over edges of any size: a join for each hop, the frontier against edges, then an anti join with what was seen."""
+    """Every (table, id) within `hops` of the seeds and its distance, over edges of any size: a semi join of the edges with the frontier for each hop, then the least number of hops of each node."""
     out = edges.select(F.struct(F.col("source_table").alias("table"), F.col("source_id").alias("id")).alias("x"), F.struct(F.col("target_table").alias("table"), F.col("target_id").alias("id")).alias("y"))
     back = out.select(F.col("y").alias("x"), F.col("x").alias("y"))
     links = out if direction == "out" else back if direction == "in" else out.unionByName(back)
-    seen = seeds.select(F.struct("table", "id").alias("x")).distinct().withColumn("hops", F.lit(0))
-    frontier = seen
+    frontier = seeds.select(F.struct("table", "id").alias("x")).distinct()
+    found = frontier.withColumn("hops", F.lit(0))
     for k in range(1, hops + 1):
-        frontier = links.join(frontier.select("x"), "x", "left_semi").select(F.col("y").alias("x")).distinct().join(seen.select("x"), "x", "left_anti").withColumn("hops", F.lit(k))
-        seen = seen.unionByName(frontier)
-    return seen.select("x.table", "x.id", "hops")
+        frontier = links.join(frontier, "x", "left_semi").select(F.col("y").alias("x")).distinct()
+        found = found.unionByName(frontier.withColumn("hops", F.lit(k)))
+    return found.groupBy("x").agg(F.min("hops").alias("hops")).select("x.table", "x.id", "hops")
 
 
 def search_graph(found: Sequence[tuple[str, DataFrame]], edges: DataFrame, top_k: int, max_hops: int, **options) -> tuple[list[tuple[float, Node]], Walk]:
