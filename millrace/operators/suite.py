@@ -161,6 +161,11 @@ def graph_reach(spark, sf_dir):
     return graph.reach(_edges(spark, sf_dir), seeds, 3)
 
 
+def graph_reach_all(spark, sf_dir):
+    """All that three hops from every order lead to."""
+    return graph.reach(_edges(spark, sf_dir), table(spark, sf_dir, "orders").select(F.lit("orders").alias("table"), F.col("o_orderkey").alias("id")), 3)
+
+
 def graph_path(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     walk = graph.find_path(edges, ("orders", 1), ("region", 1), max_hops=6, node_limit=1000, edge_limit=1000)
@@ -209,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_filtered": vector_filtered,
     "graph_neighbors": graph_neighbors,
     "graph_reach": graph_reach,
+    "graph_reach_all": graph_reach_all,
     "graph_path": graph_path,
     "keyed_merge": keyed_merge,
     "foreign_key_check": foreign_key_check,
@@ -230,6 +236,8 @@ ORACLE: dict[str, str] = {
     "graph_neighbors": "SELECT 'lives' AS relation, c_custkey AS id, c_custkey AS source_id, CAST(c_nationkey AS BIGINT) AS target_id FROM customer WHERE c_nationkey = 3",
     "graph_reach": """WITH o AS (SELECT * FROM orders WHERE o_orderkey <= 50), c AS (SELECT DISTINCT c.* FROM o JOIN customer c ON c.c_custkey = o.o_custkey), n AS (SELECT DISTINCT n.* FROM c JOIN nation n ON n.n_nationkey = c.c_nationkey)
 SELECT 'orders' AS "table", o_orderkey AS id, 0 AS hops FROM o UNION ALL SELECT 'customer', c_custkey, 1 FROM c UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), 2 FROM n UNION ALL SELECT DISTINCT 'region', CAST(n_regionkey AS BIGINT), 3 FROM n""",
+    "graph_reach_all": """WITH c AS (SELECT DISTINCT c.* FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey), n AS (SELECT DISTINCT n.* FROM c JOIN nation n ON n.n_nationkey = c.c_nationkey)
+SELECT 'orders' AS "table", o_orderkey AS id, 0 AS hops FROM orders UNION ALL SELECT 'customer', c_custkey, 1 FROM c UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), 2 FROM n UNION ALL SELECT DISTINCT 'region', CAST(n_regionkey AS BIGINT), 3 FROM n""",
     "keyed_merge": "SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS n FROM orders GROUP BY o_custkey",
     "foreign_key_check": "SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) GROUP BY l_partkey",
     "unique_check": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1",
