@@ -3,7 +3,7 @@
 Equal vectors of a label are one row with a count. Each row has several keys, each of some bits of its rotated sign codes; rows
 that share a label and a key meet. Their packed codes and correction factors give an unbiased estimate and a confidence bound of each cosine: pairs
 whose upper bound is below the threshold are left, all others are recomputed in double precision. Two vectors at the threshold share no
-key with a probability below `miss`; the number of keys follows from that.
+key with a probability of `miss` / rows, which the number of keys follows from: of a table whose vectors have a link at the threshold each, `miss` links are lost.
 
 Keys with many rows are split into tiles, pairs of bounded blocks, so a group of any size is spread over tasks. A tile gives one row for each vector: how many
 linked vectors it has there (a pair counts under the first key that it shares) and the smallest id it is linked with, never the pairs themselves.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rabitq
-from .common import written
+from .common import slices, written
 from .components import components
 from .neighbours import groups, usable
 
@@ -33,15 +33,15 @@ def shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """Bits of a key and number of keys for n rows."""
     bits = min(20, max(6, ceil(log2(max(n, 2) / 64))))
     same = 1 - acos(threshold) / pi
-    return bits, ceil(log(miss) / log(1 - same**bits))
+    return bits, ceil(log(miss / max(n, 1)) / log(1 - same**bits))
 
 
 def keyed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
     """Each row with its keys, an array of `tables` numbers from disjoint bits of as many rotations as are needed."""
-    schema = "vec_id long, label long, dim int, v array<double>, n long, keys array<long>"
+    schema = "vec_id long, label long, dim int, v array<double>, n long, keys array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             for dim in np.unique(batch.column(2).to_numpy()):
                 some = batch.filter(pa.compute.equal(batch.column(2), pa.scalar(dim, pa.int32())))
                 v = rabitq.vectors(some.column(3))
@@ -52,7 +52,7 @@ def keyed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
                     seed += 1
                 code = np.concatenate(codes, axis=1)[:, : bits * tables].reshape(len(v), tables, bits)
                 keys = code @ (1 << np.arange(bits, dtype=np.int64))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[some.column(k) for k in range(5)], flat], names=[x.split()[0] for x in schema.split(", ")])
 
     return rows.select("vec_id", "label", "dim", "v", "n").mapInArrow(run, schema)
