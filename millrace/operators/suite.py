@@ -182,6 +182,12 @@ def foreign_key_check(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).join(table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("k")), "k", "left_anti").groupBy("k").agg(F.count("*").alias("n"))
 
 
+def foreign_key_check_all(spark, sf_dir):
+    """The parts that lineitem names and the whole part table lacks; a null names none."""
+    named = table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL").select(F.col("l_partkey").alias("k"))
+    return named.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), "k", "left_anti").groupBy("k").agg(F.count("*").alias("n"))
+
+
 def unique_check(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -218,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_path": graph_path,
     "keyed_merge": keyed_merge,
     "foreign_key_check": foreign_key_check,
+    "foreign_key_check_all": foreign_key_check_all,
     "unique_check": unique_check,
     "events_tumbling": events_tumbling,
     "events_sliding": events_sliding,
@@ -240,6 +247,7 @@ SELECT 'orders' AS "table", o_orderkey AS id, 0 AS hops FROM o UNION ALL SELECT
 SELECT 'orders' AS "table", o_orderkey AS id, 0 AS hops FROM orders UNION ALL SELECT 'customer', c_custkey, 1 FROM c UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), 2 FROM n UNION ALL SELECT DISTINCT 'region', CAST(n_regionkey AS BIGINT), 3 FROM n""",
     "keyed_merge": "SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS n FROM orders GROUP BY o_custkey",
     "foreign_key_check": "SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) GROUP BY l_partkey",
+    "foreign_key_check_all": "SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey) GROUP BY l_partkey",
     "unique_check": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1",
     "events_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(18, 4))), 2) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "events_sliding": "SELECT strftime(s, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type FROM events UNION ALL SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, event_type FROM events) GROUP BY 1, 2",

@@ -18,3 +18,8 @@ def test_reach_of_every_order(spark, tmp_path):
     want = {("orders", k, 0) for k, _ in orders} | {("customer", k, 1) for k in c} | {("nation", k, 2) for k in n} | {("region", r, 3) for k, r in nations if k in n}
     got = [tuple(r) for r in suite.QUERIES["graph_reach_all"](spark, sf).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_foreign_keys_against_every_part(spark, tmp_path):
+    sf = tables(spark, tmp_path, lineitem=([(k,) for k in (1, 7, 14, 15, 15, 99, None)], "l_partkey long"), part=([(k,) for k in range(1, 15)], "p_partkey long"))
+    assert {tuple(r) for r in suite.QUERIES["foreign_key_check_all"](spark, sf).collect()} == {(15, 2), (99, 1)}
