@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bounded, fold, slices
-from .toxicity import NOT_WORD, sampled
+from .toxicity import NOT_WORD, sampled, share_of
 
 BITS, FACTORS, BINS = 16, 8, 12
 MOST, LONGEST = 10_000, 200_000
@@ -118,7 +118,7 @@ class Machine:
 
 
 def fit(rows: list, share: float | None = None, epochs: int = 10, batch: int = 250, rate: float = 0.08, decay: float = 2e-5, least: int = 3) -> Machine | float:
-    """By Adagrad on the logistic loss over batches in a fixed random order, label 0 weighted to its share among all labels. A number, the share of label 1, where only one label or none is there."""
+    """By Adagrad on the logistic loss over batches in a fixed random order, label 0 weighted to its share among the labels of the folds learnt from. A number, the share of label 1, where only one label or none is there."""
     rows = sorted(rows, key=lambda r: r[0])
     y = np.array([r[1] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
@@ -183,8 +183,7 @@ def score(documents: DataFrame, model: Machine | float, metadata: list[str]) ->
 
 def learn(documents: DataFrame, labels: DataFrame, metadata: list[str], most: int = MOST, longest: int = LONGEST) -> Machine | float:
     rows = sampled(documents, labels, "quality", 4, 2, most, longest, tuple(F.col(m).cast("double").alias(m) for m in metadata))
-    kinds = {r[0]: r[1] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
-    return fit(examples(rows.select("doc_id", "text", "y", *metadata), metadata), kinds.get(1, 0) / max(1, sum(kinds.values())))
+    return fit(examples(rows.select("doc_id", "text", "y", *metadata), metadata), share_of(labels, "quality", 4, 2))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

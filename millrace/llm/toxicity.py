@@ -38,11 +38,21 @@ def bare(stretch: str) -> str:
     return NOT_WORD.sub("", stretch.lower())
 
 
+def taught(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
+    """doc_id and y, one label for each document of the folds that are learnt from."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), modulus) != held)).select("doc_id", F.col(label).cast("int").alias("y"))
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def share_of(labels: DataFrame, label: str, modulus: int, held: int) -> float:
+    """The share of label 1 among the documents that are learnt from."""
+    kinds = {r[0]: r[1] for r in taught(labels, label, modulus, held).groupBy("y").count().collect()}
+    return kinds.get(1, 0) / max(1, sum(kinds.values()))
+
+
 def sampled(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, longest: int, more: tuple = ()) -> DataFrame:
     """doc_id, text, more columns and y of the rows to learn from: at most `most`, half for each label, so that joining them by broadcast is bounded."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), modulus) != held)).select("doc_id", F.col(label).cast("int").alias("y"))
-    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
-    few = None
+    rows, few = taught(labels, label, modulus, held), None
     for value in (1, 0):
         part = rows.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
         few = part if few is None else few.unionByName(part)
@@ -67,7 +77,7 @@ def bags(sample: DataFrame) -> list:
 def fit(rows: list, share: float | None = None, epochs: int = 80, rate: float = 0.7, sparse: float = 1.0, decay: float = 0.02, least: int = 3) -> tuple[np.ndarray, float]:
     """Feature weights and bias, by Adagrad with soft thresholds on the likelihood of the documents' labels under noisy-or.
 
-    `share` is the share of toxic documents among all labelled ones; label 0 is weighted so that the sample has it too.
+    `share` is the share of toxic documents among all labelled ones outside the held-out fold; label 0 is weighted so that the sample has it too.
     """
     rows = sorted((r for r in rows if r[2]), key=lambda r: r[0])
     weight, bias = np.zeros(1 << BITS), -6.0
@@ -161,9 +171,7 @@ def clean(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.
 
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST) -> tuple[np.ndarray, float]:
-    kinds = {r[0]: r[1] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
-    share = kinds.get(1, 0) / max(1, sum(kinds.values()))
-    return fit(bags(sampled(documents, labels, "toxic", 5, 0, most, longest)), share)
+    return fit(bags(sampled(documents, labels, "toxic", 5, 0, most, longest)), share_of(labels, "toxic", 5, 0))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
