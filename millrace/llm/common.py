@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +21,47 @@ def tokenizer_file(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one stands in for it only where all run in this machine's local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Shuffle files of an execution go when it ends, so disk doesn't add up over steps.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
-    """Cuts lineage: the rows as a Parquet table in the shared folder, deleted when the application ends."""
+    """Cuts lineage: the rows as a Parquet table in the shared folder, deleted by freed() or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).deleteOnExit(place)
-    return spark.read.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.parquet(path)
+    out.written_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for df in tables:
+        files, place = _place(df.sparkSession, df.written_at)
+        files.delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +97,16 @@ class Bounded(dict):
         return value
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that Python never holds many texts at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows and, but for single rows that are longer, of `most` bytes of text, so that Python never holds many texts at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        reach, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(reach, most + (reach[at - 1] if at else 0), "right"))
+            end = max(at + 1, min(at + rows, end))
+            yield batch.slice(at, end - at)
+            at = end

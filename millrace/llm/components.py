@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import freed, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,7 +26,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         # small star: each node and its smaller neighbours go to the smallest of these
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "edges")
+        fewer = written(small, "edges")
+        freed(edges)
+        edges = fewer
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -6,12 +6,14 @@ token in their prefixes. Prefixes that reach into the frequent tokens are extend
 is shared, or, frequent tokens being dealt into B classes by hash, two of one class. So rare tokens are indexed alone and frequent ones as pairs within their class. B
 follows from a tier of the sets' sizes; a set takes part in the tier of every smaller size that it may be linked with.
 
-Documents that share a signature meet at a centre, the one with the smallest share of rare tokens. The documents of a centre are compared in tiles (pairs of blocks of
-bounded size) by bitmaps of fixed size, which bound the overlap from above. What may still be linked falls into classes, and the documents of a class are compared in tiles by their whole sets. Tiles give links to a
+Documents that share a signature meet at a centre, the smallest id among them. Postings of rare tokens, of which the sketch bounds the number for each, are sorted by signature and streamed;
+those of pairs, which nothing bounds, are reduced to a centre before the shuffle and joined with it, which Spark can split. Each document is compared with its centre first: by bitmaps, one bit for each
+token, that bound the overlap from above, then by whole sets. The links found connect the copies of a large group in work that follows their number. Only documents of a centre
+that are still unconnected are compared with the others there, in tiles (pairs of blocks bounded by documents and by tokens), again by bitmaps and then by whole sets. Tiles give links to a
 spanning root, never all pairs; so every link is found, or its ends are connected by others that were.
 
 Documents with equal sets are one before all this. Null and empty texts have no tokens and link with nothing. Repeated rows (same id and text) are one class and give a row each;
-ids are taken to be unique otherwise. Rows with a null id are left out.
+ids are taken to be unique otherwise. Rows with a null id link with nothing and have no component.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, matching, slices, written
+from .common import Bounded, freed, matching, slices, written
 from .components import components
 from .neighbours import groups
 
 #: Lower case for A-Z alone, in UTF-8.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-SKETCH_BITS, BLOCK_BITS, BITMAP = 20, 12, 2048
+SKETCH_BITS, BLOCK_BITS = 20, 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,56 +121,110 @@ def _tiers(n: int, percent: int) -> range:
     return range(max(1, -(-n * percent // 100)).bit_length(), n.bit_length() + 1)
 
 
-def signatures(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct signatures of a set."""
+def signatures(s: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct signatures of a set: tokens alone, and pairs of frequent ones (with frequent tokens alone where there are too few of them)."""
     n = len(s)
+    if not n:
+        return s, s
     # hashes of 63 bits below the class, so one sort gives the global order
     hashed = np.sort((_mixed(s) >> np.uint64(1)) | (often[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(63)))
     common = hashed >> np.uint64(63) > 0
     least = -(-n * percent // 100)
     prefix = n - least + 1
-    out = []
+    alone, pairs = [hashed[:0]], [hashed[:0]]
     for tier in _tiers(n, percent):
         classes = max(1, 1 << max(0, tier - 7))
         classes = min(classes, max(1, least - 1))
         if not common[:prefix].any():
-            out.append(hashed[:prefix])
+            alone.append(hashed[:prefix])
             continue
         p = min(n, prefix + classes)
         rare = ~common[:p]
-        out.append(hashed[:p][rare])
+        alone.append(hashed[:p][rare])
         rest = hashed[:p][~rare]
         if least < classes + 1:  # too few tokens to promise a second one
-            out.append(rest)
+            pairs.append(rest)
         of = rest % np.uint64(classes)
         for c in range(classes):
             own = rest[of == c]
             if len(own) > 1:
                 i, j = np.triu_indices(len(own), 1)
-                out.append(_mixed(own[i] * _MIX + own[j] + np.uint64(tier)))
-    return np.unique(np.concatenate(out))
+                pairs.append(_mixed(own[i] * _MIX + own[j] + np.uint64(tier)))
+    return np.unique(np.concatenate(alone)), np.unique(np.concatenate(pairs))
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the tokens' numbers in BITMAP cells."""
-    return np.packbits(np.bincount((_mixed(s) >> np.uint64(20)) % np.uint64(BITMAP), minlength=BITMAP) & 1).tobytes()
+    """Parities of the tokens' numbers in as many cells as there are tokens, to the next power of two (64 at least)."""
+    size = max(64, 1 << int(len(s) - 1).bit_length() if len(s) else 64)
+    return np.packbits(np.bincount((_mixed(s) >> np.uint64(20)) % np.uint64(size), minlength=size) & 1).tobytes()
+
+
+def _folded(number: int, size: int, to: int) -> int:
+    while size > to:
+        size >>= 1
+        number = (number >> size) ^ (number & ((1 << size) - 1))
+    return number
+
+
+def _may_link(n: int, a: bytes, m: int, b: bytes, percent: int) -> bool:
+    """Whether sets of n and m tokens with these bitmaps can reach the threshold: the cells that differ are tokens that only one of them has."""
+    if min(n, m) * 100 < max(n, m) * percent:
+        return False
+    size = 8 * min(len(a), len(b))
+    differ = (_folded(int.from_bytes(a), 8 * len(a), size) ^ _folded(int.from_bytes(b), 8 * len(b), size)).bit_count()
+    return (100 + percent) * min((n + m - differ) // 2, n, m) >= percent * (n + m)
 
 
 def postings(documents: DataFrame, width: int, percent: int, bits: np.ndarray) -> DataFrame:
-    """signature, doc_id and rank, an order in which sets of common tokens come first."""
+    """signature, doc_id, and whether the signature is a pair of frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(bits).astype(bool)
         for batch, sets in _sets(batches, width):
+            got = [signatures(s, often, percent) for s in sets]
+            sizes = [len(alone) + len(pairs) for alone, pairs in got]
+            if not sum(sizes):
+                continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            some = [k for k, s in enumerate(sets) if len(s)]
-            got = [signatures(sets[k], often, percent) for k in some]
-            rank = [int(1000 * (1 - often[sets[k] >> np.uint64(64 - SKETCH_BITS)].mean())) for k in some]
-            sizes = [len(g) for g in got]
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.repeat(ids[some], sizes)), pa.array(np.repeat(np.array(rank, np.int32), sizes))], names=["signature", "doc_id", "rank"])
+            flat = np.concatenate([y for x in got for y in x])
+            paired = np.repeat(np.tile([False, True], len(got)), [len(y) for x in got for y in x])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(paired)], names=["signature", "doc_id", "paired"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long, paired boolean")
+
 
-    return documents.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long, rank int")
+MEMBER = "centre long, doc_id long"
+
+
+def _at_centres(dealt: DataFrame) -> DataFrame:
+    """centre and doc_id for the documents, other than the centre, of each signature; rows come in order of signature and doc_id. One row is held, whatever a signature's number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signature, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.ones(len(doc), bool)
+            new[1:] = signature[1:] != signature[:-1]
+            new[0] = last != signature[0]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+            own = np.where(lead >= 0, doc[lead], centre)
+            last, centre = signature[-1], own[-1]
+            some = own != doc
+            if some.any():
+                found = np.unique(np.stack([own[some], doc[some]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["centre", "doc_id"])
+
+    return dealt.mapInArrow(run, MEMBER)
+
+
+def members(post: DataFrame) -> DataFrame:
+    """centre and doc_id, once each, of the documents that share a signature with the smallest id that has it."""
+    alone, pairs = (post.where(F.col("paired") == x).select("signature", "doc_id") for x in (False, True))
+    bounded = _at_centres(alone.repartition("signature").sortWithinPartitions("signature", "doc_id"))
+    centres = pairs.groupBy("signature").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("most")).where("centre < most").select("signature", "centre")
+    return bounded.unionByName(pairs.join(centres, "signature").where("centre <> doc_id").select("centre", "doc_id")).distinct()
 
 
 def _linked(a: np.ndarray, b: np.ndarray, ids: np.ndarray):
@@ -186,56 +242,107 @@ def _linked(a: np.ndarray, b: np.ndarray, ids: np.ndarray):
     return ids[got], ids[np.argsort(order)[low[got]]]
 
 
-def _tiles(members: DataFrame, block: int, *columns: str) -> DataFrame:
-    """Rows (centre, i, j, side, doc_id, ...) so that each two documents of a centre meet in a tile of at most two blocks."""
-    sizes = members.groupBy("centre").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    met = members.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = met.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", *columns)
-    return tiles.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "doc_id")
+LINK = "a long, b long"
 
 
-def _pairs(i, j, side, n, percent: int):
-    """Index blocks of the pairs of a tile, by sizes: sorted by n, only sizes within the threshold meet."""
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _star(near: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links between documents and their centres, by whole sets. A centre's documents are dealt into blocks of about `most` tokens, its own set goes to each block once."""
+    sizes = near.join(sets.select("doc_id", "n"), "doc_id").groupBy("centre").agg(F.ceil(F.sum("n") / most).cast("int").alias("blocks"))
+    own = near.join(sizes, "centre").join(sets, "doc_id").select("centre", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), "doc_id", "n", "tokens")
+    lead = sizes.join(sets, F.col("centre") == F.col("doc_id")).select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "doc_id", "n", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (side, ids, n, tokens) in groups(batches, 2):
+            if len(ids) < 2 or side[0]:
+                continue
+            centre, rest = np.frombuffer(tokens[0], np.uint64), np.frombuffer(b"".join(tokens[1:]), np.uint64)
+            there = centre[np.minimum(np.searchsorted(centre, rest), len(centre) - 1)] == rest
+            overlap = np.add.reduceat(there, np.concatenate([[0], np.cumsum(n[1:])[:-1]]), dtype=np.int64)
+            linked = (100 + percent) * overlap >= percent * (n[1:] + n[0])
+            if linked.any():
+                yield _links(ids[1:][linked], np.full(int(linked.sum()), ids[0]))
+
+    return own.unionByName(lead).repartition("centre", "block").sortWithinPartitions("centre", "block", "side", "doc_id").mapInArrow(run, LINK)
+
+
+def _tiles(held: DataFrame, block: int, most: int, *columns: str) -> DataFrame:
+    """Rows (centre, i, j, side, doc_id, comp, n, ...) of documents (centre, doc_id, comp, n, ...), so that each two of a centre in different components meet in a tile of two blocks.
+
+    The largest component of a centre is its main one; what is outside of it meets the rest and the main one, and the main one doesn't meet itself. Blocks have about `block` documents and `most` tokens.
+    """
+    blocks = lambda: F.greatest(F.ceil(F.sum("docs") / block), F.ceil(F.sum("tokens") / most)).cast("int")
+    of = held.groupBy("centre", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    largest = of.groupBy("centre").agg(F.max(F.struct("docs", "comp")).alias("main")).select("centre", F.col("main.comp").alias("main"))
+    sizes = of.join(largest, "centre").withColumn("own", F.col("comp") == F.col("main")).groupBy("centre", "main", "own").agg(blocks().alias("blocks"))
+    sizes = sizes.groupBy("centre", "main").agg(F.max(F.when(F.col("own"), F.col("blocks"))).alias("main_blocks"), F.max(F.when(~F.col("own"), F.col("blocks"))).alias("blocks")).where("blocks is not null")
+    met = held.join(sizes, "centre").withColumn("outside", F.col("comp") != F.col("main"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside"), F.col("blocks")).otherwise(F.col("main_blocks"))).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("blocks") + F.col("main_blocks")).otherwise(F.col("blocks")) - 1)))
+    inside = F.col("outside") & (F.col("other") < F.col("blocks"))
+    i = F.when(inside, F.least("own", "other")).when(F.col("outside"), F.col("own")).otherwise(F.col("other"))
+    j = F.when(inside, F.greatest("own", "other")).when(F.col("outside"), F.col("other")).otherwise(F.col("blocks") + F.col("own"))
+    side = F.when(inside, (F.col("own") > F.col("other")).cast("int")).otherwise((~F.col("outside")).cast("int"))
+    return met.select("centre", i.alias("i"), j.alias("j"), side.alias("side"), "doc_id", "comp", "n", *columns).repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "doc_id")
+
+
+def _sides(i, j, side) -> tuple[np.ndarray, np.ndarray]:
     left = np.flatnonzero(side == 0)
-    right = left if i == j else np.flatnonzero(side == 1)
+    return left, left if i == j else np.flatnonzero(side == 1)
+
+
+def _met(left, right, n, percent: int, rows: int = 256):
+    """Blocks of two sides by sizes: only sizes within the threshold meet."""
     left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
+    for at in range(0, len(left), rows):
+        some = left[at : at + rows]
         low, high = np.searchsorted(n[right] * 100, n[some[0]] * percent, "left"), np.searchsorted(n[right] * percent, n[some[-1]] * 100, "right")
-        if high > low:
-            yield some, right[low:high]
+        for to in range(int(low), int(high), rows):
+            yield some, right[to : min(to + rows, int(high))]
+
+
+def _unpacked(maps, rows, size: int) -> np.ndarray:
+    """Bitmaps of equal size as rows of 0 and 1, folded to `size` cells."""
+    bits = np.unpackbits(np.frombuffer(b"".join([maps[k] for k in rows]), np.uint8)).reshape(len(rows), -1, size)
+    return (bits.sum(axis=1) & 1).astype(np.float32)
 
 
 def _bitmap_pass(tiles: DataFrame, percent: int) -> DataFrame:
-    """a, b: links to the smallest document of what may be linked in a tile."""
+    """a, b: links to the smallest document of what may be linked in a tile, between different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), (side, ids, n, maps) in groups(batches, 3):
-            bits = np.unpackbits(np.frombuffer(b"".join(maps), np.uint8).reshape(len(maps), -1), axis=1).astype(np.float32)
-            ones = bits.sum(axis=1)
+        for (_, i, j), (side, ids, comp, n, maps) in groups(batches, 3):
+            left, right = _sides(i, j, side)
+            cells = np.array([8 * len(m) for m in maps])
             a, b = [], []
-            for x, y in _pairs(i, j, side, n, percent):
-                differ = ones[x][:, None] + ones[y][None, :] - 2 * (bits[x] @ bits[y].T)
-                total = n[x][:, None] + n[y][None, :]
-                most = np.minimum(np.floor((total - differ) / 2), np.minimum(n[x][:, None], n[y][None, :]))
-                p, q = np.nonzero(((100 + percent) * most >= percent * total) & (ids[x][:, None] != ids[y][None, :]))
-                a.append(x[p])
-                b.append(y[q])
-            if a and sum(map(len, a)):
-                node, root = _linked(np.concatenate(a), np.concatenate(b), ids)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
-
-    return tiles.mapInArrow(run, "a long, b long")
+            for c in np.unique(cells[left]):
+                for d in np.unique(cells[right]):
+                    if max(c, d) > 2 * min(c, d):  # sizes beyond the threshold
+                        continue
+                    size = int(min(c, d))
+                    for x, y in _met(left[cells[left] == c], right[cells[right] == d], n, percent, max(1, min(256, (1 << 21) // size))):
+                        p, q = _unpacked(maps, x, size), _unpacked(maps, y, size)
+                        differ = p.sum(axis=1)[:, None] + q.sum(axis=1)[None, :] - 2 * (p @ q.T)
+                        total = n[x][:, None] + n[y][None, :]
+                        most = np.minimum(np.floor((total - differ) / 2), np.minimum(n[x][:, None], n[y][None, :]))
+                        p, q = np.nonzero(((100 + percent) * most >= percent * total) & (comp[x][:, None] != comp[y][None, :]))
+                        a.append(x[p])
+                        b.append(y[q])
+            if sum(map(len, a)):
+                yield _links(*_linked(np.concatenate(a), np.concatenate(b), ids))
+
+    return tiles.mapInArrow(run, LINK)
 
 
 def _exact_pass(tiles: DataFrame, percent: int) -> DataFrame:
-    """a, b: links to the smallest document of what is connected in a tile."""
+    """a, b: links to the smallest document of what is connected in a tile, between different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), (side, ids, n, sets) in groups(batches, 3):
-            sets = [np.frombuffer(s, np.uint64) for s in sets]
-            all_of = np.concatenate(sets)
-            _, place, often = np.unique(all_of, return_inverse=True, return_counts=True)
+        for (_, i, j), (side, ids, comp, n, sets) in groups(batches, 3):
+            _, place, often = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True, return_counts=True)
             shared = often > 1
             column = np.cumsum(shared) - 1
             owner = np.repeat(np.arange(len(sets)), n)
@@ -243,21 +350,22 @@ def _exact_pass(tiles: DataFrame, percent: int) -> DataFrame:
             owner, place = owner[keep], column[place[keep]]
             starts = np.searchsorted(owner, np.arange(len(sets) + 1))
             a, b = [], []
-            for x, y in _pairs(i, j, side, n, percent):
+            for x, y in _met(*_sides(i, j, side), n, percent):
+                apart = comp[x][:, None] != comp[y][None, :]
+                if not apart.any():
+                    continue
                 overlap = np.zeros((len(x), len(y)), np.float32)
                 for low in range(0, int(shared.sum()), 4096):  # columns in strips, so memory is bounded
                     left, right = (_strip(z, starts, place, low) for z in (x, y))
                     overlap += left @ right.T
-                near = (100 + percent) * overlap.astype(np.int64) >= percent * (n[x][:, None] + n[y][None, :])
-                near &= ids[x][:, None] != ids[y][None, :]
+                near = apart & ((100 + percent) * overlap.astype(np.int64) >= percent * (n[x][:, None] + n[y][None, :]))
                 p, q = np.nonzero(near)
                 a.append(x[p])
                 b.append(y[q])
-            if a and sum(map(len, a)):
-                node, root = _linked(np.concatenate(a), np.concatenate(b), ids)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
+            if sum(map(len, a)):
+                yield _links(*_linked(np.concatenate(a), np.concatenate(b), ids))
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(run, LINK)
 
 
 def _strip(rows, starts, place, low: int, width: int = 4096) -> np.ndarray:
@@ -268,34 +376,68 @@ def _strip(rows, starts, place, low: int, width: int = 4096) -> np.ndarray:
     return out
 
 
+def _whole_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, n and tokens of the documents with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "tokens"])
+
+    return written(matching(documents, ids.distinct(), "left_semi").mapInArrow(run, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"]), "tokens")
+
+
+def _may_meet(met: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The members whose bitmaps, and their centres', allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [_may_link(*row, percent) for row in zip(*[c.to_pylist() for c in batch.columns[2:]])]
+            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+    both = met.join(maps, "doc_id").join(maps.select(F.col("doc_id").alias("centre"), F.col("n").alias("m"), F.col("map").alias("other")), "centre")
+    return both.select("centre", "doc_id", "n", "map", "m", "other").mapInArrow(run, MEMBER)
+
+
+def links(documents: DataFrame, maps: DataFrame, met: DataFrame, width: int, percent: int, block: int = 512, most: int = 1 << 18) -> DataFrame:
+    """node and component of the documents with a link. maps: doc_id, n and map of one document for each set; met: members of centres."""
+    near = written(_may_meet(met, maps, percent), "near")
+    sets = _whole_sets(documents, near.select("doc_id").unionByName(near.select(F.col("centre").alias("doc_id"))), width)
+    first = written(components(_star(near, sets, percent, most)), "first")
+    freed(near, sets)
+    known = first.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    with_comp = lambda held: held.join(known, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    # a centre has been compared with all of its documents, so they meet without it
+    held = with_comp(met).join(maps, "doc_id")
+    rest = components(_bitmap_pass(_tiles(held, block, 8 * most, "map"), percent)).select(F.col("component").alias("centre"), F.col("node").alias("doc_id"))
+    rest = written(rest, "rest")
+    sets = _whole_sets(documents, rest.select("doc_id"), width)
+    more = _exact_pass(_tiles(with_comp(rest).join(sets, "doc_id"), block, most, "tokens"), percent)
+    found = components(more.unionByName(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    freed(first, rest, sets)
+    return found
+
+
 def classes(documents: DataFrame, width: int = 4, percent: int = 85, above: int = 64, block: int = 512) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that can be reached by links) for every row.
 
     percent is the least similarity in hundredths, `above` the count from which a token is frequent.
     """
-    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = written(described(whole, width), "sets")
     bits = frequent(parts, above)
-    keyed = parts.where("doc_id is not null").select("doc_id", "n", "key")
-    heads = written(keyed.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("doc_id")), "heads")
-    copies = keyed.select("doc_id").join(heads.select("doc_id"), "doc_id", "left_anti").distinct()
-    post = written(postings(matching(whole, copies, "left_anti"), width, percent, bits), "postings")
-    often = post.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1").select("signature")
-    few = written(post.join(often, "signature", "left_semi"), "shared")
-    centres = few.groupBy("signature").agg(F.min(F.struct("rank", "doc_id")).alias("c")).select("signature", F.col("c.doc_id").alias("centre"))
-    members = written(few.join(centres, "signature").select("centre", "doc_id").distinct(), "members")
-    maps = parts.where("doc_id is not null").select("doc_id", "n", "map").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # what may be linked falls into classes, of which each document has one
-    active = written(components(_bitmap_pass(_tiles(members.join(maps, "doc_id"), block, "n", "map"), percent)).select(F.col("component").alias("centre"), F.col("node").alias("doc_id")), "active")
-
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "tokens"])
-
-    full = matching(whole, active.select("doc_id"), "left_semi").mapInArrow(whole_sets, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"])
-    found = components(_exact_pass(_tiles(active.join(full, "doc_id"), block, "n", "tokens"), percent))
+    keyed = parts.where("block is null").select("doc_id", "n", "key")
+    heads = written(keyed.where("n > 0 and doc_id is not null").groupBy("n", "key").agg(F.min("doc_id").alias("doc_id")), "heads")
+    others = keyed.where("n > 0 and doc_id is not null").select("doc_id").distinct().join(heads.select("doc_id"), "doc_id", "left_anti")
+    post = written(postings(matching(whole.where("doc_id is not null"), others, "left_anti"), width, percent, bits), "postings")
+    met = written(members(post), "members")
+    freed(post)
+    ids = met.select("doc_id").unionByName(met.select(F.col("centre").alias("doc_id"))).distinct()
+    maps = written(parts.where("block is null").select("doc_id", "n", "map").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "maps")
+    found = links(whole.where("doc_id is not null"), maps, met, width, percent, block)
+    freed(met, maps)
     least = heads.join(found, F.col("doc_id") == F.col("node"), "left").select("n", "key", F.coalesce("component", "doc_id").alias("component_id"))
-    return keyed.join(least, ["n", "key"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    told = keyed.join(least, ["n", "key"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return told.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -63,7 +63,9 @@ def test_jaccard_classes(spark, options):
     ids = [i for i in sets if sets[i]]
     pairs = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if (100 + percent) * len(sets[a] & sets[b]) >= percent * (len(sets[a]) + len(sets[b]))]
     want = smallest(pairs, sets)
-    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[0][1]), (None, None)], "doc_id long, text string")
+    assert sorted((r.n_shingles, r.component_id) for r in jaccard.classes(docs, **options).where("doc_id is null").collect()) == [(0, None), (len(sets[0]), None)]
+    docs = docs.where("doc_id is not null")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, **options).collect()}
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}
     kept = jaccard.one_of_each(docs.selectExpr("*", "1 AS n", "2 AS component_id"), width, percent)
