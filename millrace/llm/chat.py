@@ -2,13 +2,14 @@
 
 A record's nested field paths (array places written as [], with the kind of each leaf) are hashed. The fingerprint selects a
 declarative mapping, which says where the turns are and which fields hold role and text, so that prompt and completion,
-instruction and output, and message lists of several makes all become turns (role, text). A template then marks
+instruction and output, message lists of several makes, and tables with a row for each turn all become turns (role, text). A schema with more fields than a layout has
+is read by the layout of which it has all fields (the one with most fields, ties by the order of LAYOUTS); that choice is made once for each fingerprint. A template then marks
 the turns. Control strings inside texts and roles are escaped with a backslash, which read_back() undoes.
 
 Output is one row for each turn, a segment of the conversation's formatted text with the place of the text to be trained on, so a
 conversation of any length streams through a task. Null texts and roles are empty. Turns are taken in order of their number (null first), ties
 by role and text; repeated rows are turns of their own. An empty table gives no segments. Records that no mapping fits give one segment without
-text whose `layout` is null.
+text whose `layout` is null; a table that no mapping fits is refused. Other columns of a table are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -31,16 +33,18 @@ HEADER = re.compile(r'### (?:(User|Assistant|System|Tool)|"((?:[^"\\]|\\.)*)"):
 NAMED = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
 SEGMENT = "conv_id long, turn long, layout string, segment string, loss_from long, loss_to long"
 
-#: Declarative mappings: either `each` (a list of turns with the fields of role and text) or `fixed` (role, field) pairs in order.
+#: Declarative mappings: `each` (a list of turns with the fields of role and text), `fixed` (role, field) pairs in order, or `row` (a turn for each row, with the fields of conversation and order). `roles` are names to be changed.
 MAPPINGS = {
+    "turns": {"row": "conv_id", "order": "turn", "role": "role", "text": "text"},
     "messages": {"each": "messages", "role": "role", "text": "content"},
     "parts": {"each": "messages", "role": "role", "text": "content", "parts": "text"},
-    "sharegpt": {"each": "conversations", "role": "from", "text": "value"},
+    "sharegpt": {"each": "conversations", "role": "from", "text": "value", "roles": ROLES},
     "prompt": {"fixed": [("user", "prompt"), ("assistant", "completion")]},
     "response": {"fixed": [("user", "prompt"), ("assistant", "response")]},
     "instruction": {"fixed": [("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")], "join": "\n\n"},
 }
 LAYOUTS = {
+    "turns": ["conv_id:n turn:n role:s text:s"],
     "messages": ["messages[].role:s messages[].content:s"],
     "parts": ["messages[].role:s messages[].content[].type:s messages[].content[].text:s"],
     "sharegpt": ["conversations[].from:s conversations[].value:s"],
@@ -51,7 +55,7 @@ LAYOUTS = {
 
 
 def paths(value, at: str = "") -> set[str]:
-    """Nested field paths with the kind of their leaves; nulls count as texts."""
+    """Nested field paths of a record with the kind of their leaves; nulls count as texts."""
     if isinstance(value, dict):
         return {p for k, v in value.items() for p in paths(v, f"{at}.{k}" if at else k)}
     if isinstance(value, list):
@@ -59,6 +63,15 @@ def paths(value, at: str = "") -> set[str]:
     return {f"{at}:{'s' if value is None or isinstance(value, str) else 'b' if isinstance(value, bool) else 'n'}"}
 
 
+def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
+    """The same of a table's schema."""
+    if isinstance(kind, T.StructType):
+        return {p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)}
+    if isinstance(kind, T.ArrayType):
+        return schema_paths(kind.elementType, f"{at}[]")
+    return {f"{at}:{'n' if isinstance(kind, T.NumericType) else 'b' if isinstance(kind, T.BooleanType) else 's'}"}
+
+
 def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
@@ -66,19 +79,40 @@ def fingerprint(found: set[str]) -> str:
 REGISTRY = {fingerprint(set(x.split())): name for name, all_of in LAYOUTS.items() for x in all_of}
 
 
+def _wider(found: set[str]) -> str | None:
+    """The layout with most fields of those whose fields are all there."""
+    fitting = [(len(own), -k, name) for k, (name, x) in enumerate((name, x) for name, all_of in LAYOUTS.items() for x in all_of) if (own := set(x.split())) <= found]
+    return max(fitting)[2] if fitting else None
+
+
+_SEEN: dict[str, str | None] = {}
+
+
+def layout_of(found: set[str]) -> str | None:
+    """The layout that a schema's fingerprint selects."""
+    key = fingerprint(found)
+    if key in REGISTRY:
+        return REGISTRY[key]
+    if key not in _SEEN:
+        if len(_SEEN) >= 10_000:  # schemas of a data set are few; a worker's memory stays bounded where they aren't
+            _SEEN.clear()
+        _SEEN[key] = _wider(found)
+    return _SEEN[key]
+
+
 def turns_of(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
     """The layout's name and the canonical turns; (None, []) where no mapping fits."""
-    layout = REGISTRY.get(fingerprint(paths(record)))
-    if layout is None:
-        return None, []
-    m = MAPPINGS[layout]
+    layout = layout_of(paths(record))
+    m = MAPPINGS.get(layout)
+    if m is None or "row" in m:
+        return (None, []) if m is None else (layout, [(record[m["role"]] or "", record[m["text"]] or "")])
     out = []
     if "each" in m:
         for x in record[m["each"]]:
             text, role = x.get(m["text"]), x.get(m["role"]) or ""
             if "parts" in m:
                 text = "".join(y.get(m["parts"]) or "" for y in text or [])
-            out.append((ROLES.get(role, role), text or ""))
+            out.append((m.get("roles", {}).get(role, role), text or ""))
         return layout, out
     for role, field in m["fixed"]:
         text = record.get(field)
@@ -119,20 +153,21 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Segments of a table (conv_id, turn, role, text) in the order of their conversations, each of them as a record of the messages layout.
+    """Segments of a table with a row for each turn, in the order of their conversations. The fingerprint of its schema selects the mapping, which names the columns; roles stay as they are.
 
-    The rows of a conversation are sorted in a task and streamed, so its length isn't bound by memory. Rows without a conv_id are one conversation.
+    The rows of a conversation are sorted in a task and streamed, so its length isn't bound by memory. Rows without a conversation's id are one conversation.
     """
-    by = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    layout = layout_of(schema_paths(turns.schema))
+    m = MAPPINGS.get(layout, {})
+    if "row" not in m:
+        raise ValueError("no mapping fits this table's columns")
+    conv, order, role, text = (F.col(m[k]) for k in ("row", "order", "role", "text"))
+    by = turns.select(conv.cast("long").alias("conv_id"), order.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    by = by.repartition("conv_id").sortWithinPartitions(*[F.asc_nulls_first(c) for c in by.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
-            for conv, turn, role, text in zip(*[c.to_pylist() for c in batch.columns]):
-                layout, got = turns_of({"messages": [{"role": role, "content": text}]})
-                for r, t in got:
-                    rows.append((conv, turn, layout, *segment(r, t)))
-            yield _batch(rows)
+            yield _batch([(conv, turn, layout, *segment(role or "", text or "")) for conv, turn, role, text in zip(*[c.to_pylist() for c in batch.columns])])
 
     return by.mapInArrow(run, SEGMENT)
 
@@ -197,5 +232,5 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def op8_chat(spark, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return digests(format_turns(turns.unionByName(extra)))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return digests(format_turns(turns.unionByName(extra, allowMissingColumns=True)))

@@ -78,6 +78,14 @@ def matching(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id")
     return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, column, how)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that isn't among these, in any case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column, modulus: int):
     """crc32 of the id's text, modulo."""
     return F.crc32(column.cast("string")) % modulus

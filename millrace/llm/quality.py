@@ -5,8 +5,8 @@ half the sum over factors of (sum v_if x_i)^2 - sum (v_if x_i)^2. Words are hash
 length; statistics are standardised and also enter as one-hot bins between quantiles; metadata columns are numbers and count as statistics, with an
 indicator where they are null.
 
-Fitting takes a bounded sample of labelled rows (`most`, half of each label, the smallest by a hash of the id; texts over `longest` characters stay out of it). Scoring takes whole texts of all
-rows. Null texts are empty; an empty text is scored by its statistics. Repeated rows get the same score. Without labelled rows of both kinds every score is the share of label 1, or 0.5 without labels.
+Fitting takes a bounded sample of labelled rows: `most`, half of each label, the smallest by a hash of the id, as far as `characters` of whole texts go for each label; rows that repeat an id
+are one there. Scoring takes whole texts of all rows. Ids may be of any integer type. Null texts are empty; an empty text is scored by its statistics. Repeated rows get the same score. Without labelled rows of both kinds every score is the share of label 1, or 0.5 without labels.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import Bounded, fold, slices
 from .toxicity import NOT_WORD, sampled, share_of
 
 BITS, FACTORS, BINS = 16, 8, 12
-MOST, LONGEST = 10_000, 200_000
+MOST, CHARACTERS = 10_000, 25_000_000
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 sentence end, 5 other punctuation, 6 blank, 7 line feed, 8 beyond ASCII
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -69,7 +69,7 @@ def features(text: str | None, memo: Bounded) -> tuple[np.ndarray, np.ndarray, l
 
 
 def _columns(documents: DataFrame, metadata: list[str]):
-    return ["doc_id", "text", *[F.col(m).cast("double").alias(m) for m in metadata]]
+    return [F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(m).cast("double").alias(m) for m in metadata]]
 
 
 def _with_metadata(stats: list[float], values: tuple) -> list[float]:
@@ -181,8 +181,8 @@ def score(documents: DataFrame, model: Machine | float, metadata: list[str]) ->
     return documents.select(*_columns(documents, metadata)).mapInArrow(run, "doc_id long, score double")
 
 
-def learn(documents: DataFrame, labels: DataFrame, metadata: list[str], most: int = MOST, longest: int = LONGEST) -> Machine | float:
-    rows = sampled(documents, labels, "quality", 4, 2, most, longest, tuple(F.col(m).cast("double").alias(m) for m in metadata))
+def learn(documents: DataFrame, labels: DataFrame, metadata: list[str], most: int = MOST, characters: int = CHARACTERS) -> Machine | float:
+    rows = sampled(documents, labels, "quality", 4, 2, most, characters, tuple(F.col(m).cast("double").alias(m) for m in metadata))
     return fit(examples(rows.select("doc_id", "text", "y", *metadata), metadata), share_of(labels, "quality", 4, 2))
 
 

@@ -4,8 +4,9 @@ Labels say only whether a document is toxic. A sentence is a bag of hashed words
 noisy-or of its sentences, 1 - prod(1 - p), and the word weights are fitted to the documents' labels through it. Sentence scores then show
 where the offence is.
 
-Fitting takes a bounded sample of labelled rows (`most`, half of each label, the smallest by a hash of the id; texts over `longest` characters stay out of it). Scoring takes whole texts of all rows.
-Null and empty texts have no sentence and score 0. Rows that repeat get the same score. Without labelled rows of both kinds every score is 0 but for rounding.
+Fitting takes a bounded sample of labelled rows: `most`, half of each label, the smallest by a hash of the id, as far as `characters` of whole texts go for each label; rows that repeat
+an id are one there. Scoring takes whole texts of all rows. Stretches without letters are no sentences, in fitting and in scoring. Null and empty texts have no sentence and score 0. Rows that
+repeat get the same score. Without labelled rows of both kinds every score is 0 but for rounding. Ids may be of any integer type; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bounded, fold, slices
@@ -24,7 +25,8 @@ from .common import Bounded, fold, slices
 BITS = 18
 SENTENCES = re.compile(r"[^.!?\n]+")
 NOT_WORD = re.compile(r"[\W\d_]+")
-MOST, LONGEST = 8_000, 200_000
+LETTER = re.compile(r"[^\W\d_]")
+MOST, CHARACTERS = 8_000, 20_000_000
 
 
 def features(word: str, bits: int = BITS) -> tuple[int, int, int]:
@@ -50,13 +52,16 @@ def share_of(labels: DataFrame, label: str, modulus: int, held: int) -> float:
     return kinds.get(1, 0) / max(1, sum(kinds.values()))
 
 
-def sampled(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, longest: int, more: tuple = ()) -> DataFrame:
-    """doc_id, text, more columns and y of the rows to learn from: at most `most`, half for each label, so that joining them by broadcast is bounded."""
+def sampled(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, characters: int, more: tuple = ()) -> DataFrame:
+    """doc_id, text, more columns and y of the rows to learn from: at most `most`, half for each label, so that joining them by broadcast is bounded, and `characters` of text for each label."""
     rows, few = taught(labels, label, modulus, held), None
     for value in (1, 0):
         part = rows.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
         few = part if few is None else few.unionByName(part)
-    return documents.where(F.length("text") <= longest).select("doc_id", "text", *more).join(F.broadcast(few), "doc_id")
+    of = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more).join(F.broadcast(few.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    one = of.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text")))).where("copy = 1")
+    reach = F.sum(F.length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return one.withColumn("reach", reach).where(F.col("reach") <= characters).drop("copy", "reach")
 
 
 def bags(sample: DataFrame) -> list:
@@ -119,59 +124,59 @@ def fit(rows: list, share: float | None = None, epochs: int = 80, rate: float =
     return weight, float(bias)
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
-    """doc_id, score and the offending sentences (start, end, score), which are given where the document reaches `cut`."""
+def _scorer(model: tuple[np.ndarray, float]):
+    """The function from a sentence to its logit, and the one from a text to its noisy-or score; pieces without letters count in neither."""
+    from math import exp, expm1, log1p
+
     weight, bias = model[0].astype(np.float32), model[1]
+    get, letter = Bounded(lambda x: float(weight[list(features(w))].sum()) if (w := bare(x)) else 0.0, 200_000).__getitem__, LETTER.search
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from math import exp, expm1, log1p
+    def logit(sentence: str) -> float:
+        return max(-40.0, min(40.0, bias + sum(map(get, sentence.split()))))
+
+    def whole(text: str | None) -> float:
+        return abs(expm1(-sum([log1p(exp(logit(s))) for s in SENTENCES.findall(text or "") if letter(s)])))
+
+    return logit, whole
 
-        memo = Bounded(lambda x: float(weight[list(features(w))].sum()) if (w := bare(x)) else 0.0)
-        get = memo.__getitem__
 
-        def logit(sentence: str) -> float:
-            return max(-40.0, min(40.0, bias + sum(map(get, sentence.split()))))
+def score(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
+    """doc_id, score and the offending sentences (start, end, score), which are given where the document reaches `cut`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from math import exp
 
+        logit, whole = _scorer(model)
         for batch in slices(batches):
             scores, found = [], []
             for text in batch.column(1).to_pylist():
-                p = abs(expm1(-sum(log1p(exp(logit(s))) for s in SENTENCES.findall(text or ""))))
-                scores.append(p)
+                scores.append(p := whole(text))
                 spans = []
                 if p >= cut:
-                    for m in SENTENCES.finditer(text or ""):
-                        q = 1 / (1 + exp(-logit(m[0])))
-                        if q >= cut / 2:
+                    for m in SENTENCES.finditer(text):
+                        if LETTER.search(m[0]) and (q := 1 / (1 + exp(-logit(m[0])))) >= cut / 2:
                             spans.append({"start": m.start(), "end": m.end(), "score": q})
                 found.append(spans)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["doc_id", "score", "offending"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>")
 
 
 def clean(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose score is below `cut`."""
-    weight, bias = model[0].astype(np.float32), model[1]
     where = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from math import exp, expm1, log1p
-
-        memo = Bounded(lambda x: float(weight[list(features(w))].sum()) if (w := bare(x)) else 0.0)
-        get = memo.__getitem__
+        _, whole = _scorer(model)
         for batch in slices(batches):
-            keep = []
-            for text in batch.column(where).to_pylist():
-                whole = sum(log1p(exp(max(-40.0, min(40.0, bias + sum(map(get, s.split())))))) for s in SENTENCES.findall(text or ""))
-                keep.append(-expm1(-whole) < cut)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([whole(t) < cut for t in batch.column(where).to_pylist()], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 
 
-def learn(documents: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST) -> tuple[np.ndarray, float]:
-    return fit(bags(sampled(documents, labels, "toxic", 5, 0, most, longest)), share_of(labels, "toxic", 5, 0))
+def learn(documents: DataFrame, labels: DataFrame, most: int = MOST, characters: int = CHARACTERS) -> tuple[np.ndarray, float]:
+    return fit(bags(sampled(documents, labels, "toxic", 5, 0, most, characters)), share_of(labels, "toxic", 5, 0))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

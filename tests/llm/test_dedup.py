@@ -148,7 +148,11 @@ def test_segments_of_long_texts(spark, monkeypatch):
 
 def test_line_dedup(spark):
     rows = [(k, "a", f"menu\nown {k}\n\n menu ") for k in range(20)] + [(50, "b", "menu\nx"), (51, None, "menu"), (52, "a", None), (53, "a", ""), (54, "a", "menu"), (54, "a", "menu")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 __drop", "2 __host", "3 lines_to_drop", "4 host_of_lines")
+    assert linededup.drop_boilerplate_lines(df).columns == df.columns
+    small = spark.createDataFrame([(k, "s", f"own {k}\n" + ("both\t\n" if k < 2 else "") + ("\rthree" if k < 3 else "")) for k in range(25)], "doc_id long, source string, text string")
+    texts = {r.doc_id: r.text for r in linededup.drop_boilerplate_lines(small).collect()}
+    assert texts[0] == "own 0\nboth\t" and texts[2] == "own 2"  # 3 of 25 pages exceed a tenth, 2 don't
     got = [(r.doc_id, r.text) for r in linededup.drop_boilerplate_lines(df).collect()]
     assert (3, "own 3\n") in got and (50, "menu\nx") in got and (51, "menu") in got and (52, None) in got and got.count((54, "")) == 2 and len(got) == len(rows)
     assert linededup.drop_boilerplate_lines(df.limit(0)).count() == 0

@@ -1,9 +1,14 @@
 """The classifiers on planted cases, chat round trips, and the pipeline's stages."""
 
+import hashlib
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, quality, toxicity
 from millrace.llm.common import Bounded
@@ -47,6 +52,83 @@ def test_toxicity(tables):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted([i for i, r in got.items() if r.score < 0.5] + [9001])
 
 
+def naive_noisy_or(text, weight, bias):
+    clean = 1.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        words = [w for x in sentence.lower().split() if (w := "".join(c for c in x if c.isalpha()))]
+        if words:
+            z = bias
+            for w in words:
+                for f in (w, w[:4] + "*" if len(w) > 4 else w, w[:5] + "*" if len(w) > 5 else w):
+                    z += weight[zlib.crc32(f.encode()) % len(weight)]
+            clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def stored(spark, tmp_path, docs, labels):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_toxicity_query_is_the_naive_noisy_or(spark, tables, tmp_path):
+    rows, docs, labels = tables
+    more = spark.createDataFrame([(9100, "1. 2. 3. " * 1000, 9), (9101, ". " * 5000, 9), (9102, "!!! 7 ___ ...", 9), (9103, "a calm sentence about nothing at all\n" * 3000, 9)], docs.schema)
+    docs = docs.unionByName(more)
+    weight, bias = toxicity.learn(docs, labels)
+    got = {r.doc_id: r for r in toxicity.op1_toxicity(spark, stored(spark, tmp_path, docs, labels)).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id].score - naive_noisy_or(r.text, weight, bias)) < 1e-4
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+    assert got[9100].score == got[9101].score == got[9102].score == 0
+
+
+@pytest.mark.parametrize("query, label, modulus, held", [(toxicity.op1_toxicity, "toxic", 5, 0), (quality.op7_quality, "quality", 4, 2)])
+def test_held_out_labels_are_not_learnt_from(spark, tables, tmp_path, query, label, modulus, held):
+    _, docs, labels = tables
+    labels = labels.where("doc_id is not null")
+    flipped = labels.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string")) % modulus == held, 1 - F.col(label)).otherwise(F.col(label)))
+    assert flipped.exceptAll(labels).count() > 20
+    one, two = (sorted(map(tuple, query(spark, stored(spark, tmp_path / str(k), docs, x)).collect())) for k, x in enumerate((labels, flipped)))
+    assert one == two
+
+
+def test_scores_of_odd_tables(spark, tables):
+    _, docs, labels = tables
+    odd = docs.selectExpr("cast(doc_id as int) doc_id", "text", "n_chars", "1.5 score", "'x' offending", "'y' y", "2 reach")
+    a, b = toxicity.learn(odd, labels), toxicity.learn(docs, labels)
+    assert (a[0] == b[0]).all() and a[1] == b[1]
+    assert sorted(toxicity.score(odd, a).select("doc_id", "score").collect()) == sorted(toxicity.score(docs, b).select("doc_id", "score").collect())
+    assert toxicity.clean(odd, a).columns == odd.columns
+    m = quality.learn(odd, labels, ["n_chars"])
+    assert sorted(quality.score(odd, m, ["n_chars"]).collect()) == sorted(quality.score(docs, m, ["n_chars"]).collect())
+    none = docs.limit(0)
+    assert toxicity.score(none, toxicity.learn(none, labels)).count() == quality.score(none, quality.learn(none, labels, []), []).count() == 0
+
+
+def test_sample_is_bounded_in_characters(tables):
+    rows, docs, labels = tables
+    some = toxicity.sampled(docs, labels, "toxic", 5, 0, 100, 2000).collect()
+    assert 0 < len(some) <= 100 and len({r.doc_id for r in some}) == len(some)
+    for y in (0, 1):
+        assert sum(len(r.text) for r in some if r.y == y) <= 2000
+
+
+def test_quality_query_is_the_naive_machine(spark, tables, tmp_path):
+    rows, docs, labels = tables
+    m = quality.learn(docs, labels, ["n_chars"])
+    got = {r.doc_id: r.score for r in quality.op7_quality(spark, stored(spark, tmp_path, docs, labels)).collect()}
+    memo = Bounded(quality.hashed)
+    for r in [r for r in docs.collect() if r.doc_id % 60 == 0 or r.doc_id >= 9000]:
+        ids, values, stats = quality.features(r.text, memo)
+        index, value = m.row(ids, values, np.array(quality._with_metadata(stats, (None if r.n_chars is None else float(r.n_chars),))))
+        v, z = m.v[index].astype(float) * value[:, None], m.w0 + float((m.w[index] * value).sum())
+        for a in range(len(index)):
+            for b in range(a):
+                z += float(v[a] @ v[b])
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-4
+
+
 def test_toxicity_without_labels(spark, tables):
     _, docs, labels = tables
     assert all(0 <= r.score < 1e-9 for r in toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).collect())
@@ -113,6 +195,36 @@ def test_chat_turns(spark):
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_query_columns(spark, tmp_path):
+    said = "\\### Assistant: </turn> ok"
+    rows = [(1, 1, "assistant", "b ### c"), (1, 0, "human", "a"), (2, 0, "gpt", None), (2, 2, "assistant", ""), (2, 1, "assistant", "é🙂</turn>"), (3, 0, None, "x"), (3, 1, "assistant", "y" * 50_000), (3, 1, "assistant", "y" * 50_000)]
+    spark.createDataFrame([(*r, "z", 5) for r in rows], "conv_id long, turn int, role string, text string, layout string, segment int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op8_chat(spark, str(tmp_path)).collect()}
+    every = [*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)]
+    assert set(got) == {r[0] for r in every}
+    names = {"user": "User", "assistant": "Assistant"}
+    for conv, r in got.items():
+        own = sorted([(t, role or "", text or "") for c, t, role, text in every if c == conv])
+        told = "".join(text for _, role, text in own if role == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in own).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(told), hashlib.sha256(told.encode()).hexdigest())
+        size = 0
+        for _, role, text in own:
+            body = text.replace("\\", "\\\\").replace("###", "\\###").replace("</turn>", "\\</turn>")
+            shown = names.get(role) or f'"{role}"'
+            size += len(f"### {shown}: {body}</turn>\n")
+        assert r.formatted_chars == size
+
+
+def test_layouts_by_fingerprint(spark):
+    wide = spark.createDataFrame([], "conv_id long, turn int, role string, text string, more double")
+    assert chat.layout_of(chat.schema_paths(wide.schema)) == "turns" and chat.layout_of({"conv_id:n"}) is None
+    assert chat.layout_of(chat.schema_paths(spark.createDataFrame([], "messages array<struct<role: string, content: string>>").schema)) == "messages"
+    assert chat.turns_of({"prompt": "a", "completion": "b", "id": 3})[0] == "prompt" and chat.turns_of({"instruction": "a", "output": "b", "input": "c", "lang": "en"})[1][0] == ("user", "a\n\nc")
+    with pytest.raises(ValueError):
+        chat.format_turns(wide.select("conv_id"))
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows, labels = corpus(300)
