@@ -18,26 +18,27 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Bounded, slices, tokenizer_file
+from .common import Bounded, slices, table, tokenizer_file
+from .stretches import apart, numbered
 
 NEVER = 1 << 60
-#: Python's split() parts at these, the vocabulary's pattern doesn't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-BLANKS = re.compile("[ \t\n\r]+")
 
 
 class RankArrayBpe:
     """Encoder and decoder for a `tokenizers` JSON file with a BPE model."""
 
-    def __init__(self, path: str, short: int = 96, memo: int = 250_000):
+    def __init__(self, path: str, short: int = 96, memo: int = 150_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         library = Tokenizer.from_file(path)
+        apart(library)
         model = spec["model"]
         self.short, self.normalizer, self.splitter = short, library.normalizer, library.pre_tokenizer
         self.vocab: dict[str, int] = model["vocab"]
@@ -128,21 +129,24 @@ class RankArrayBpe:
         ids = self._ids(stretch)
         return len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
 
-    def stretches_of(self, text: str) -> list[str]:
-        return BLANKS.split(text) if SEPARATORS.search(text) else text.split()
-
     def encode(self, text: str | None) -> list[int]:
-        return [i for s in self.stretches_of(text or "") for i in self._ids(s)]
+        return [i for s in (text or "").split(" ") for i in self._ids(s)]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens with a blank between, as a file without a decoder decodes; ids outside the vocabulary give nothing."""
         return " ".join([self.token[i] for i in ids if i in self.token])
 
-    def coded(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, decimal ids with a blank between, decoded text."""
-        memo = self.stretches
-        got = [x for s in self.stretches_of(text or "") if (x := memo[s])[0]]
-        return sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+    def coded_batch(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For each text the number of tokens, the decimal ids with a blank between and the decoded text; each different part is looked up once."""
+        ends, numbers, parts = numbered(texts)
+        got = [self.stretches[s] for s in parts]
+        counts = np.fromiter((x[0] for x in got), np.int64, len(got))
+        fine = counts[numbers] > 0
+        ends, numbers = np.concatenate([[0], np.cumsum(fine)])[ends], numbers[fine]
+        at, blank = pa.array(ends, pa.int32()), pa.scalar(" ", pa.large_string())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(at, pa.array([x[k] for x in got], pa.large_string()).take(pa.array(numbers))), blank) for k in (1, 2)]
+        reach = np.concatenate([[0], np.cumsum(counts[numbers])])
+        return reach[ends[1:]] - reach[ends[:-1]], *joined
 
 
 _LOADED: dict[str, RankArrayBpe] = {}
@@ -165,18 +169,15 @@ def encode_texts(documents: DataFrame, vocabulary: str, id_column: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in slices(batches):
-            n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                count, coded, decoded = bpe.coded(text)
-                n.append(count)
-                a.append(coded if ids else hashlib.sha256(coded.encode()).hexdigest())
-                b.append(decoded if ids else hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[x.split()[0] for x in schema.split(", ")])
+        for batch in slices(batches, 2000):
+            n, *told = bpe.coded_batch(batch.column(1))
+            if not ids:
+                told = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string()) for column in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *[x.cast(pa.string()) for x in told]], names=[x.split()[0] for x in schema.split(", ")])
 
     return documents.select(id_column, text_column).mapInArrow(run, schema)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = table(spark, sf_dir, "documents")
     return encode_texts(documents, tokenizer_file("word_bpe_49k.json"), ids=False)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, table
 
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 CONTROL = re.compile(r"\\|###|</turn>")
@@ -232,5 +232,5 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def op8_chat(spark, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = table(spark, sf_dir, "conversations")
     return digests(format_turns(turns.unionByName(extra, allowMissingColumns=True)))

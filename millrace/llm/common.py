@@ -64,7 +64,16 @@ def freed(*tables: DataFrame) -> None:
         files.delete(place, True)
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB instead of 64, so that neither the JVM nor Python holds many whole texts at once; a session that has its own setting keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, with lean() in force for what reads it."""
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -94,7 +103,7 @@ def fold(column, modulus: int):
 class Bounded(dict):
     """A memo of `make` that stops growing at `most` entries, so a worker's memory doesn't follow its input."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rabitq
-from .common import slices, written
+from .common import slices, table, written
 from .components import components
 from .neighbours import groups, usable
 
@@ -148,7 +148,7 @@ def dedup(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
 
 
 def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return dedup(table(spark, sf_dir, "embeddings"))
 
 
 #: All pairs of a label, by a plain join.

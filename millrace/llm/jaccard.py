@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, freed, matching, slices, written
+from .common import Bounded, freed, matching, slices, table, written
 from .components import components
 from .neighbours import groups
 
@@ -447,7 +447,7 @@ def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 #: All pairs that share a shingle, by plain joins.

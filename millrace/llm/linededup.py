@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import table, unused, written
 
 #: Above so many lines to be dropped in all, they are joined by host instead of being broadcast.
 MOST_BROADCAST = 100_000
@@ -51,7 +51,7 @@ def drop_boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return drop_boilerplate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return drop_boilerplate_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 ORACLE = """

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rabitq
+from .common import table
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -108,5 +109,5 @@ def _joined(held: list[pa.RecordBatch], keys: int) -> list[np.ndarray]:
 
 
 def op3_neighbours(spark, sf_dir: str) -> DataFrame:
-    rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return search(rows.where(F.col("vec_id") % 20 == 0), rows)

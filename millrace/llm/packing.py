@@ -19,74 +19,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, tokenizer_file, written
+from .common import slices, table, tokenizer_file, written
+from .stretches import PLAIN, Codes, apart, gathered, numbered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
 
 
-PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
-#: Letters below this are their own composition and have a lower case of their own; the dotted capital I has not.
-LATIN, DOTTED = "\u0180", "\u0130"
-
-
 class Tokenised:
-    """Little-endian ids of whole texts by the tokenizers library, with a bounded memo for stretches without white space."""
+    """Ids of whole texts by the tokenizers library, which is asked once for each different part of a batch that the worker hasn't met."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.most = memo
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        from .bpe import BLANKS, SEPARATORS
-
-        parts = [(BLANKS.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        get = self.memo.get
-        found = [list(map(get, p)) for p in parts]
-        gaps = [[k for k, x in enumerate(f) if x is None] for f in found]
-        fresh = self._fresh({p[k] for p, g in zip(parts, gaps) for k in g})
-        for p, f, g in zip(parts, found, gaps):
-            for k in g:
-                f[k] = fresh[p[k]]
-        return [b"".join(f) for f in found]
-
-    def _fresh(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of stretches that the memo doesn't have; it takes them in while it has room."""
-        memo, words = self.memo, self.words
-        out: dict[str, bytes] = {}
-        parted: dict[str, tuple[str, str]] = {}
-        for s in new:  # letters with punctuation behind are two pieces for the vocabulary's pattern, and letters have one case
-            base = s.rstrip(PUNCTUATION)
-            if base.isalpha() and max(base) < LATIN and DOTTED not in base:
-                parted[s] = (base.lower(), s[len(base) :])
-        ask = list((new - parted.keys()) | {x for pair in parted.values() for x in pair if x and x not in words})
-        # encoded without offsets, which are most of the work
-        got = dict(zip(ask, [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(ask, add_special_tokens=False)])) if ask else {}
-        for s in new:
-            if s in parted:
-                out[s] = b"".join([words[x] if x in words else got[x] for x in parted[s] if x])
-            else:
-                out[s] = got[s]
-        room = self.most - len(memo)
-        if room > 0:
-            memo.update(list(out.items())[:room])
-        pieces = {x for pair in parted.values() for x in pair if x and x in got}
-        for x in pieces:
-            if len(words) >= self.most:
-                break
-            words[x] = got[x]
-        return out
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        library = Tokenizer.from_file(path)
+        apart(library)
+        library.no_truncation()
+        library.no_padding()
+        bare = Tokenizer(library.model)  # for words in lower case, which normalisers leave as they are and no pattern parts
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+        def ids(new: list[str]) -> list[list[int]]:
+            fine = pc.match_substring_regex(pa.array(new, pa.string()), f"^[{PLAIN}]+$").to_pylist()
+            made: dict[str, list[int]] = {}
+            for kind, encoder in ((True, bare), (False, library)):
+                some = [x.lower() if kind else x for x, f in zip(new, fine) if f is kind]
+                made.update(zip([x for x, f in zip(new, fine) if f is kind], [e.ids for e in encoder.encode_batch_fast(some, add_special_tokens=False)]))  # without offsets, which are most of the work
+            return [made[x] for x in new]
+
+        self.codes = Codes(ids, memo)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(where each text's ids begin and end, the ids of all texts)."""
+        ends, numbers, parts = numbered(texts)
+        return gathered(ends, numbers, *self.codes.of(parts))
 
 
 _LOADED: dict[str, Tokenised] = {}
@@ -102,12 +74,14 @@ def cut(documents: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -
             _LOADED[vocabulary] = Tokenised(vocabulary)
         tokenised, end = _LOADED[vocabulary], np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in slices(batches):
+        for batch in slices(batches, 2000):
+            ends, ids = tokenised.batch(batch.column(1))
+            raw, ends = ids.astype("<u4").tobytes(), ends.tolist()
             out: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenised.batch(batch.column(1).to_pylist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
+            for doc, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:]):
+                own = raw[4 * a : 4 * b] + end
+                for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                    piece = own[at : at + 4 * capacity]
                     n = len(piece) // 4
                     for column, value in zip(out, (doc, k, at // 4, n, zlib.crc32(piece), seen[n])):
                         column.append(value)
@@ -116,7 +90,7 @@ def cut(documents: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -
             arrays.insert(5, pa.array([task] * len(out[0]), pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return documents.select("doc_id", "text").mapInArrow(run, PIECES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def best_fit(histogram: dict[int, int], capacities: tuple[int, int, int], weights=(1.0, 1e-6, 1e-6), score: str = "norm") -> list[tuple[list[tuple[int, int]], int]]:
@@ -207,4 +181,4 @@ def pack(documents: DataFrame, vocabulary: str, tokens: int = 2048, most_documen
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))

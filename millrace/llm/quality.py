@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, fold, slices
+from .common import Bounded, fold, slices, table
 from .toxicity import NOT_WORD, sampled, share_of
 
 BITS, FACTORS, BINS = 16, 8, 12
@@ -187,6 +187,6 @@ def learn(documents: DataFrame, labels: DataFrame, metadata: list[str], most: in
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(documents, learn(documents, labels, ["n_chars"]), ["n_chars"])
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

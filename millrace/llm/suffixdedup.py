@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, table, written
 from .lyndon import suffix_order
 
 GRAM, SEGMENT = 32, 1 << 19
@@ -417,4 +417,4 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), width).mapInArrow(run, schema)
+    return removed(table(spark, sf_dir, "documents"), width).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, fold, slices
+from .common import Bounded, fold, slices, table
 
 BITS = 18
 SENTENCES = re.compile(r"[^.!?\n]+")
@@ -180,6 +180,6 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = MOST, characters:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
-    documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(documents, learn(documents, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -30,12 +31,27 @@ def library():
 
 def test_same_ids_and_round_trip(library):
     own, packed = bpe.RankArrayBpe(PATH), packing.Tokenised(PATH, memo=200)
-    for t in texts(1500):
-        ids = library.encode(t or "", add_special_tokens=False).ids
+    some = texts(1500)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in some]
+    for size in (7, 1000):
+        for at in range(0, len(some), size):
+            batch, here = pa.array(["left out", *some[at : at + size]], pa.string()).slice(1), want[at : at + size]
+            ends, ids = packed.batch(batch)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == here
+            n, coded, decoded = own.coded_batch(batch)
+            assert n.tolist() == list(map(len, here))
+            assert coded.to_pylist() == [" ".join(map(str, x)) for x in here]
+            assert decoded.to_pylist() == [library.decode(x, skip_special_tokens=False) for x in here]
+    for t, ids in zip(some, want):
         assert own.encode(t) == ids
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
-        assert own.coded(t) == (len(ids), " ".join(map(str, ids)), own.decode(ids))
-        assert np.frombuffer(packed.batch([t])[0], "<u4").tolist() == ids
+
+
+def test_other_vocabularies_are_refused():
+    for name in ("byte_bpe_50k.json",):
+        for kind in (bpe.RankArrayBpe, packing.Tokenised):
+            with pytest.raises(ValueError):
+                kind(public.path(name))
 
 
 def test_query_columns(spark, library):
