@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Bounded, slices, table, tokenizer_file
+from .common import Bounded, slices, table, tidy, tokenizer_file
 from .stretches import apart, numbered
 
 NEVER = 1 << 60
@@ -169,13 +169,13 @@ def encode_texts(documents: DataFrame, vocabulary: str, id_column: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, 1000, 3 << 20):
             n, *told = bpe.coded_batch(batch.column(1))
             if not ids:
                 told = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string()) for column in told]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *[x.cast(pa.string()) for x in told]], names=[x.split()[0] for x in schema.split(", ")])
 
-    return documents.select(id_column, text_column).mapInArrow(run, schema)
+    return documents.select(id_column, text_column).mapInArrow(tidy(run), schema)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

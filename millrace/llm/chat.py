@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import slices, table, tidy
 
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 CONTROL = re.compile(r"\\|###|</turn>")
@@ -169,7 +169,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
         for batch in slices(batches):
             yield _batch([(conv, turn, layout, *segment(role or "", text or "")) for conv, turn, role, text in zip(*[c.to_pylist() for c in batch.columns])])
 
-    return by.mapInArrow(run, SEGMENT)
+    return by.mapInArrow(tidy(run), SEGMENT)
 
 
 def format_records(records: DataFrame, id_column: str = "conv_id", record_column: str = "record") -> DataFrame:
@@ -187,7 +187,7 @@ def format_records(records: DataFrame, id_column: str = "conv_id", record_column
                 rows += [(conv, k, layout, *segment(r, t)) for k, (r, t) in enumerate(got)] or [(conv, 0, layout, "", 0, 0)]
             yield _batch(rows)
 
-    return records.select(F.col(id_column).cast("long"), record_column).mapInArrow(run, SEGMENT)
+    return records.select(F.col(id_column).cast("long"), record_column).mapInArrow(tidy(run), SEGMENT)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -221,7 +221,7 @@ def digests(segments: DataFrame) -> DataFrame:
                 out = []
         yield _rows(out, schema)
 
-    return segments.mapInArrow(run, schema)
+    return segments.mapInArrow(tidy(run), schema)
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -103,7 +105,7 @@ def fold(column, modulus: int):
 class Bounded(dict):
     """A memo of `make` that stops growing at `most` entries, so a worker's memory doesn't follow its input."""
 
-    def __init__(self, make, most: int = 150_000):
+    def __init__(self, make, most: int = 100_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -114,7 +116,23 @@ class Bounded(dict):
         return value
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def tidy(run):
+    """The function of a mapInArrow, after which the worker gives back what it has freed: workers are used again, and hold what their largest task held otherwise."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows and, but for single rows that are longer, of `most` bytes of text, so that Python never holds many texts at once."""
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rabitq
-from .common import slices, table, written
+from .common import slices, table, tidy, written
 from .components import components
 from .neighbours import groups, usable
 
@@ -55,7 +55,7 @@ def keyed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[some.column(k) for k in range(5)], flat], names=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.select("vec_id", "label", "dim", "v", "n").mapInArrow(run, schema)
+    return rows.select("vec_id", "label", "dim", "v", "n").mapInArrow(tidy(run), schema)
 
 
 def _tile(table: int, first: bool, side, ids, n, keys, v, threshold: float):
@@ -124,7 +124,7 @@ def links(rows: DataFrame, threshold: float = 0.93, miss: float = 1e-3, block: i
         if out[0]:
             yield _rows(out)
 
-    return dealt.mapInArrow(run, "vec_id long, linked long, root long")
+    return dealt.mapInArrow(tidy(run), "vec_id long, linked long, root long")
 
 
 def _rows(out):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, freed, matching, slices, table, written
+from .common import Bounded, freed, matching, slices, table, tidy, written
 from .components import components
 from .neighbours import groups
 
@@ -94,7 +94,7 @@ def described(documents: DataFrame, width: int) -> DataFrame:
             n = cells // size
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([x.tobytes() for x in total.reshape(-1, size)], pa.binary())], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def frequent(parts: DataFrame, above: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def frequent(parts: DataFrame, above: int) -> np.ndarray:
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_py(), np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
 
-    found = parts.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary").collect()
+    found = parts.where("block is not null").select("block", "counts").repartition("block").mapInArrow(tidy(add), "block int, counts binary").collect()
     total = np.zeros((cells // size, size), np.int64)
     for block, counts in found:
         total[block] = np.frombuffer(counts, np.int64)
@@ -190,7 +190,7 @@ def postings(documents: DataFrame, width: int, percent: int, bits: np.ndarray) -
             paired = np.repeat(np.tile([False, True], len(got)), [len(y) for x in got for y in x])
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(paired)], names=["signature", "doc_id", "paired"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long, paired boolean")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "signature long, doc_id long, paired boolean")
 
 
 MEMBER = "centre long, doc_id long"
@@ -216,7 +216,7 @@ def _at_centres(dealt: DataFrame) -> DataFrame:
                 found = np.unique(np.stack([own[some], doc[some]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["centre", "doc_id"])
 
-    return dealt.mapInArrow(run, MEMBER)
+    return dealt.mapInArrow(tidy(run), MEMBER)
 
 
 def members(post: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def _star(near: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFram
             if linked.any():
                 yield _links(ids[1:][linked], np.full(int(linked.sum()), ids[0]))
 
-    return own.unionByName(lead).repartition("centre", "block").sortWithinPartitions("centre", "block", "side", "doc_id").mapInArrow(run, LINK)
+    return own.unionByName(lead).repartition("centre", "block").sortWithinPartitions("centre", "block", "side", "doc_id").mapInArrow(tidy(run), LINK)
 
 
 def _tiles(held: DataFrame, block: int, most: int, *columns: str) -> DataFrame:
@@ -334,7 +334,7 @@ def _bitmap_pass(tiles: DataFrame, percent: int) -> DataFrame:
             if sum(map(len, a)):
                 yield _links(*_linked(np.concatenate(a), np.concatenate(b), ids))
 
-    return tiles.mapInArrow(run, LINK)
+    return tiles.mapInArrow(tidy(run), LINK)
 
 
 def _exact_pass(tiles: DataFrame, percent: int) -> DataFrame:
@@ -365,7 +365,7 @@ def _exact_pass(tiles: DataFrame, percent: int) -> DataFrame:
             if sum(map(len, a)):
                 yield _links(*_linked(np.concatenate(a), np.concatenate(b), ids))
 
-    return tiles.mapInArrow(run, LINK)
+    return tiles.mapInArrow(tidy(run), LINK)
 
 
 def _strip(rows, starts, place, low: int, width: int = 4096) -> np.ndarray:
@@ -383,7 +383,7 @@ def _whole_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for batch, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "tokens"])
 
-    return written(matching(documents, ids.distinct(), "left_semi").mapInArrow(run, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"]), "tokens")
+    return written(matching(documents, ids.distinct(), "left_semi").mapInArrow(tidy(run), "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"]), "tokens")
 
 
 def _may_meet(met: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -395,7 +395,7 @@ def _may_meet(met: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
     both = met.join(maps, "doc_id").join(maps.select(F.col("doc_id").alias("centre"), F.col("n").alias("m"), F.col("map").alias("other")), "centre")
-    return both.select("centre", "doc_id", "n", "map", "m", "other").mapInArrow(run, MEMBER)
+    return both.select("centre", "doc_id", "n", "map", "m", "other").mapInArrow(tidy(run), MEMBER)
 
 
 def links(documents: DataFrame, maps: DataFrame, met: DataFrame, width: int, percent: int, block: int = 512, most: int = 1 << 18) -> DataFrame:

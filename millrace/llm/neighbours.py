@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rabitq
-from .common import table
+from .common import table, tidy
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -74,7 +74,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, block: int = 8192,
                 counts = [len(x[1]) for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], counts)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, FOUND)
+    found = dealt.mapInArrow(tidy(run), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

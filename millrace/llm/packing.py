@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, tokenizer_file, written
+from .common import slices, table, tidy, tokenizer_file, written
 from .stretches import PLAIN, Codes, apart, gathered, numbered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -32,7 +32,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 class Tokenised:
     """Ids of whole texts by the tokenizers library, which is asked once for each different part of a batch that the worker hasn't met."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 120_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,7 +74,7 @@ def cut(documents: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -
             _LOADED[vocabulary] = Tokenised(vocabulary)
         tokenised, end = _LOADED[vocabulary], np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, 1000, 3 << 20):
             ends, ids = tokenised.batch(batch.column(1))
             raw, ends = ids.astype("<u4").tobytes(), ends.tolist()
             out: list[list] = [[] for _ in range(6)]
@@ -90,7 +90,7 @@ def cut(documents: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -
             arrays.insert(5, pa.array([task] * len(out[0]), pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def best_fit(histogram: dict[int, int], capacities: tuple[int, int, int], weights=(1.0, 1e-6, 1e-6), score: str = "norm") -> list[tuple[list[tuple[int, int]], int]]:
@@ -177,7 +177,7 @@ def pack(documents: DataFrame, vocabulary: str, tokens: int = 2048, most_documen
                 sequence[at], offset[at] = row[:, 1] + k // row[:, 2], row[:, 3] + k % row[:, 2] * n
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(sequence), pa.array(offset)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, schema)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(run), schema)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, fold, slices, table
+from .common import Bounded, fold, slices, table, tidy
 from .toxicity import NOT_WORD, sampled, share_of
 
 BITS, FACTORS, BINS = 16, 8, 12
@@ -87,7 +87,7 @@ def examples(sample: DataFrame, metadata: list[str]) -> list:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, pa.binary()) for x in out]], names=["doc_id", "y", "ids", "x", "stats"])
 
-    return sample.mapInArrow(run, "doc_id long, y int, ids binary, x binary, stats binary").collect()
+    return sample.mapInArrow(tidy(run), "doc_id long, y int, ids binary, x binary, stats binary").collect()
 
 
 class Machine:
@@ -178,7 +178,7 @@ def score(documents: DataFrame, model: Machine | float, metadata: list[str]) ->
                 out = 1 / (1 + np.exp(-z.astype(float)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(*_columns(documents, metadata)).mapInArrow(run, "doc_id long, score double")
+    return documents.select(*_columns(documents, metadata)).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def learn(documents: DataFrame, labels: DataFrame, metadata: list[str], most: int = MOST, characters: int = CHARACTERS) -> Machine | float:

@@ -53,10 +53,10 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 class Codes:
     """Arrays of numbers for parts, as one flat store; the first `most` parts stay in it, others last for a batch."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[np.ndarray | list[int]]], most: int = 200_000):
+    def __init__(self, make: Callable[[list[str]], Iterable[np.ndarray | list[int]]], most: int = 120_000):
         self.make, self.most = make, most
         self.place: dict[str, int] = {}
-        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.counts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, count) of each part in the flat store, and the store."""
@@ -66,9 +66,9 @@ class Codes:
             return self.starts[at], self.counts[at], self.flat
         words = [parts[k] for k in new.tolist()]
         made = list(self.make(words))
-        counts = np.fromiter(map(len, made), np.int64, len(made))
+        counts = np.fromiter(map(len, made), np.int32, len(made))
         flat = np.concatenate([np.asarray(x, np.uint32) for x in made]) if len(made) < 64 else np.fromiter((i for x in made for i in x), np.uint32, int(counts.sum()))
-        starts = len(self.flat) + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        starts = (len(self.flat) + np.concatenate([[0], np.cumsum(counts)[:-1]])).astype(np.int32)
         at[new] = len(self.starts) + np.arange(len(new))
         every = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
         room = min(self.most - len(self.place), len(words))
@@ -82,6 +82,8 @@ class Codes:
 def gathered(ends: np.ndarray, numbers: np.ndarray, starts: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each text's codes begin and end, the codes of all texts)."""
     n = counts[numbers]
-    reach = np.concatenate([[0], np.cumsum(n)])
-    place = np.repeat(starts[numbers] - reach[:-1], n) + np.arange(reach[-1])
+    reach = np.zeros(len(n) + 1, np.int32)  # a batch is bounded in bytes, so 32 bits hold its number of codes
+    np.cumsum(n, out=reach[1:])
+    place = np.repeat(starts[numbers] - reach[:-1], n)
+    place += np.arange(reach[-1], dtype=np.int32)
     return reach[ends], flat[place]

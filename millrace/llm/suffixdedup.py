@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import slices, table, tidy, written
 from .lyndon import suffix_order
 
 GRAM, SEGMENT = 32, 1 << 19
@@ -130,7 +130,7 @@ def records(documents: DataFrame, width: int) -> DataFrame:
     """The task's first record for each bytes (FIRST); repeats in the same task as REPEAT, at an anchor of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1000, 4 << 20):
             ids = batch.column(0).to_numpy()
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             order = np.argsort(ids, kind="stable")
@@ -150,7 +150,7 @@ def records(documents: DataFrame, width: int) -> DataFrame:
             if keep.any():
                 yield _batch(RECORD, key[keep].view(np.int64), np.where(kind == REPEAT, 0, own.view(np.int64))[keep], doc[keep], at[keep], n[keep], kind[keep])
 
-    return documents.mapInArrow(run, RECORD)
+    return documents.mapInArrow(tidy(run), RECORD)
 
 
 def resolved(dealt: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def resolved(dealt: DataFrame) -> DataFrame:
             yield _batch(RECORD, anchor[some], own[some], doc[some], at[some], n[some], np.where(opened, OPEN, REPEAT)[some])
             last = (anchor[-1], own[-1], lead_doc[-1], lead_at[-1])
 
-    return dealt.mapInArrow(run, RECORD)
+    return dealt.mapInArrow(tidy(run), RECORD)
 
 
 def _equal_windows(contexts: list[bytes], windows: list[int], width: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def _equal_windows(contexts: list[bytes], windows: list[int], width: int) -> np.
 SPAN = "doc_id long, at long, windows int"
 
 
-def _ordered(contexts: DataFrame, width: int, symbols: int = 1_000_000) -> DataFrame:
+def _ordered(contexts: DataFrame, width: int, symbols: int = 400_000) -> DataFrame:
     """Repeated windows (as runs) of contexts (anchor, doc_id, at, windows, context) in order of anchor. Whole anchors are gathered up to a bounded number of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def _ordered(contexts: DataFrame, width: int, symbols: int = 1_000_000) -> DataF
         if held:
             yield _repeats(held, width)
 
-    return contexts.mapInArrow(run, SPAN)
+    return contexts.mapInArrow(tidy(run), SPAN)
 
 
 def _repeats(held: list[tuple], width: int) -> pa.RecordBatch:
@@ -308,7 +308,7 @@ def _digested(contexts: DataFrame, width: int) -> DataFrame:
                 places += range(at, at + n)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["key", "doc_id", "at"])
 
-    return contexts.mapInArrow(run, "key binary, doc_id long, at long")
+    return contexts.mapInArrow(tidy(run), "key binary, doc_id long, at long")
 
 
 def spans(documents: DataFrame, width: int, heavy: int = HEAVY) -> DataFrame:
@@ -332,7 +332,7 @@ def spans(documents: DataFrame, width: int, heavy: int = HEAVY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["anchor", "doc_id", "at", "windows", "context", "heavy"])
 
     texts = documents.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    contexts = written(texts.mapInArrow(run, "anchor long, doc_id long, at long, windows int, context binary, heavy boolean"), "contexts")
+    contexts = written(texts.mapInArrow(tidy(run), "anchor long, doc_id long, at long, windows int, context binary, heavy boolean"), "contexts")
     columns = ["anchor", "doc_id", "at", "windows", "context"]
     ordered = _ordered(contexts.where("not heavy").select(columns).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at"), width)
     windows = written(_digested(contexts.where("heavy").select(columns), width), "windows")
@@ -374,7 +374,7 @@ def without_repeats(documents: DataFrame, width: int = 100, heavy: int = HEAVY)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     joined = documents.join(found, "doc_id", "left").select(*documents.columns, "__spans")
-    return counted(joined.mapInArrow(run, schema))
+    return counted(joined.mapInArrow(tidy(run), schema))
 
 
 def counted(documents: DataFrame) -> DataFrame:
@@ -417,4 +417,4 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(table(spark, sf_dir, "documents"), width).mapInArrow(run, schema)
+    return removed(table(spark, sf_dir, "documents"), width).mapInArrow(tidy(run), schema)

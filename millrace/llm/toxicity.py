@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, fold, slices, table
+from .common import Bounded, fold, slices, table, tidy
 
 BITS = 18
 SENTENCES = re.compile(r"[^.!?\n]+")
@@ -64,47 +65,48 @@ def sampled(documents: DataFrame, labels: DataFrame, label: str, modulus: int, h
     return one.withColumn("reach", reach).where(F.col("reach") <= characters).drop("copy", "reach")
 
 
-def bags(sample: DataFrame) -> list:
-    """For each sampled row (doc_id, y, bag): the words with blanks between, the sentences with line feeds between."""
+def bags(sample: DataFrame) -> pa.Table:
+    """For each sampled row (doc_id, y, words, sizes): the words' three features in one number each, and the sentences' numbers of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Bounded(bare)
+        def packed(stretch: str) -> int:
+            return sum(f << BITS * k for k, f in enumerate(features(w))) if (w := bare(stretch)) else -1
+
+        memo = Bounded(packed)
         for batch in slices(batches):
-            out = []
+            words, sizes = [], []
             for text in batch.column(1).to_pylist():
-                found = (" ".join([w for x in s.split() if (w := memo[x])]) for s in SENTENCES.findall(text or ""))
-                out.append("\n".join([s for s in found if s]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.string())], names=["doc_id", "y", "bag"])
+                found = [np.fromiter(map(memo.__getitem__, s.split()), np.int64) for s in SENTENCES.findall(text or "") if LETTER.search(s)]
+                found = [s[s >= 0] for s in found]
+                words.append(np.concatenate([*found, np.zeros(0, np.int64)]).tobytes())
+                sizes.append(np.array([len(s) for s in found], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "y", "words", "sizes"])
 
-    return sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, bag string").collect()
+    return sample.select("doc_id", "text", "y").mapInArrow(tidy(run), "doc_id long, y int, words binary, sizes binary").toArrow()
 
 
-def fit(rows: list, share: float | None = None, epochs: int = 80, rate: float = 0.7, sparse: float = 1.0, decay: float = 0.02, least: int = 3) -> tuple[np.ndarray, float]:
+def fit(rows: pa.Table, share: float | None = None, epochs: int = 80, rate: float = 0.7, sparse: float = 1.0, decay: float = 0.02, least: int = 3) -> tuple[np.ndarray, float]:
     """Feature weights and bias, by Adagrad with soft thresholds on the likelihood of the documents' labels under noisy-or.
 
     `share` is the share of toxic documents among all labelled ones outside the held-out fold; label 0 is weighted so that the sample has it too.
     """
-    rows = sorted((r for r in rows if r[2]), key=lambda r: r[0])
+    rows = rows.filter(pc.greater(pc.binary_length(rows["sizes"]), 0)).sort_by("doc_id").combine_chunks()
     weight, bias = np.zeros(1 << BITS), -6.0
-    y = np.array([r[1] for r in rows], float)
+    y = rows["y"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return weight, -np.inf
     cost = np.where(y > 0, 1.0, 1.0 if not share else (1 - share) / share * y.sum() / (len(y) - y.sum()))
-    place: dict[str, int] = {}
-    words, sizes, counts = [], [], []
-    for _, _, bag in rows:
-        sentences = bag.split("\n")
-        counts.append(len(sentences))
-        for s in sentences:
-            own = s.split(" ")
-            sizes.append(len(own))
-            words.append(np.fromiter((place.setdefault(w, len(place)) for w in own), np.int32, len(own)))
-    words, sizes = np.concatenate(words), np.array(sizes)
+    counts = pc.binary_length(rows["sizes"]).to_numpy() // 4
+    sizes = np.frombuffer(b"".join(x.as_py() for x in rows["sizes"]), np.int32)
+    coded = pa.array(np.frombuffer(b"".join(x.as_py() for x in rows["words"]), np.int64)).dictionary_encode()
+    words, different = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    del rows, coded
     starts, firsts = (np.concatenate([[0], np.cumsum(x)[:-1]]) for x in (sizes, counts))
-    owner = np.repeat(np.arange(len(rows)), counts)
-    of = np.array([features(w) for w in place], np.int64)
-    pairs = np.unique(np.repeat(owner, sizes).astype(np.int64) << 32 | words)
-    seen = np.bincount(pairs & 0xFFFFFFFF, minlength=len(place))
+    owner = np.repeat(np.arange(len(y)), counts)
+    of = (different[:, None] >> BITS * np.arange(3) & ((1 << BITS) - 1)).astype(np.int32)
+    seen, reach = np.zeros(len(different)), [*starts[firsts].tolist(), len(words)]
+    for a, b in zip(reach, reach[1:]):
+        seen[np.unique(words[a:b])] += 1
     known = np.max([np.bincount(of[:, k], seen, 1 << BITS) for k in range(3)], axis=0) >= least
     squares, bias_square = np.full(1 << BITS, 10.0), 10.0
     for _ in range(epochs):
@@ -113,7 +115,7 @@ def fit(rows: list, share: float | None = None, epochs: int = 80, rate: float =
         p = q / (1 + q)
         clean = np.exp(-np.add.reduceat(np.log1p(q), firsts))
         g = np.where(y[owner] > 0, p * (clean / np.maximum(1 - clean, 1e-9))[owner], -p) * cost[owner]
-        each = np.bincount(words, np.repeat(g, sizes), len(place))
+        each = np.bincount(words, np.repeat(g, sizes), len(different))
         grad = sum(np.bincount(of[:, k], each, 1 << BITS) for k in range(3)) * known - decay * weight
         squares += grad * grad
         step = rate / np.sqrt(squares)
@@ -129,7 +131,7 @@ def _scorer(model: tuple[np.ndarray, float]):
     from math import exp, expm1, log1p
 
     weight, bias = model[0].astype(np.float32), model[1]
-    get, letter = Bounded(lambda x: float(weight[list(features(w))].sum()) if (w := bare(x)) else 0.0, 200_000).__getitem__, LETTER.search
+    get, letter = Bounded(lambda x: float(weight[list(features(w))].sum()) if (w := bare(x)) else 0.0).__getitem__, LETTER.search
 
     def logit(sentence: str) -> float:
         return max(-40.0, min(40.0, bias + sum(map(get, sentence.split()))))
@@ -160,7 +162,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["doc_id", "score", "offending"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>")
 
 
 def clean(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
@@ -172,7 +174,7 @@ def clean(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.
         for batch in slices(batches):
             yield batch.filter(pa.array([whole(t) < cut for t in batch.column(where).to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST, characters: int = CHARACTERS) -> tuple[np.ndarray, float]:
