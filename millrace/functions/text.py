@@ -6,18 +6,29 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 #: English words that queries leave out. Fixed values.
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 WORD = re.compile(r"[^\W]+", re.UNICODE)
 
 
+def _marks() -> re.Pattern:
+    """All combining marks (category Mn), as ranges."""
+    found, ranges = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Mn"], []
+    for c in found:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]+")
+
+
+MARKS = _marks()
+
+
 def folded(text: str) -> str:
     """Lower case, without combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+    text = text.lower()
+    return text if text.isascii() else MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 def words(text: str) -> list[str]:
@@ -96,18 +107,6 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def words_of(texts: pd.Series) -> pd.Series:
-    """Words of each text, without accents, in lower case."""
-    return texts.map(lambda t: words(t) if t else [])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems_of(texts: pd.Series) -> pd.Series:
-    """Stems of each text's words."""
-    return texts.map(lambda t: [stem(w) for w in words(t)] if t else [])
-
-
 def tokenize(text: str) -> list[str]:
     """What a search for this text looks up: stems, stop words left out."""
     return [stem(w) for w in words(text) if w not in STOP_WORDS]

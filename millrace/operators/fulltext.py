@@ -1,18 +1,20 @@
 """Ranked full-text search: a query grammar and BM25 over DataFrames.
 
-Documents become word lists in Arrow batches; everything after that, matching, counting and scoring, is Catalyst expressions. Corpus statistics cover all rows, whatever the filter. The
-query's terms are few, so they become one column each, and scores add up in the order of the query.
+An Arrow batch of texts becomes, for each document, its length and the counts of the query's terms and phrases, never its words; everything after that, matching, statistics and scoring, is
+Catalyst expressions. Corpus statistics cover all rows, whatever the filter. Scores add up in the order of the query.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, stem, stems_of, words, words_of
+from ..functions.text import STOP_WORDS, stem, words
 
 K1, B = 1.2, 0.75
 TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<word>[^\s()"]+))')
@@ -130,29 +132,43 @@ def terms(tree) -> list[Term]:
     return list(dict.fromkeys(out))
 
 
-def _count(term: Term, stems: Column, raw: Column) -> Column:
-    """How often a term is in a document; a prefix may match the word or its stem."""
-    if not term.prefix:
-        return F.size(F.filter(stems, lambda s: s == term.word))
-    both = F.zip_with(stems, raw, lambda s, w: s.startswith(term.word) | w.startswith(term.word))
-    return F.size(F.filter(both, lambda x: x))
-
-
-def _matches(tree, counts: dict[Term, Column], fields: list[Column]) -> Column:
+def _matches(tree, counts: dict[Term, Column], found: dict[Phrase, Column]) -> Column:
     if isinstance(tree, Term):
         return counts[tree] > 0
     if isinstance(tree, Phrase):
-        n = len(tree.words)
-        wanted = F.array(*[F.lit(w) for w in tree.words])
-        found = None
-        for stems in fields:
-            here = F.when(F.size(stems) >= n, F.exists(F.sequence(F.lit(1), F.size(stems) - n + 1), lambda i: F.slice(stems, i, n) == wanted)).otherwise(False)
-            found = here if found is None else found | here
-        return found
-    left, right = _matches(tree.left, counts, fields), _matches(tree.right, counts, fields)
+        return found[tree]
+    left, right = _matches(tree.left, counts, found), _matches(tree.right, counts, found)
     return left | right if tree.kind == "or" else left & ~right if tree.kind == "not" else left & right
 
 
+def phrases(tree) -> list[Phrase]:
+    if isinstance(tree, Both):
+        return list(dict.fromkeys(phrases(tree.left) + phrases(tree.right)))
+    return [tree] if isinstance(tree, Phrase) else []
+
+
+def profile(every: list[Term], wanted: list[Phrase], stemming: bool):
+    """The pandas UDF from a document's fields to its length, how often each term is in it (a prefix may match a word or its stem), and which phrases are."""
+
+    @F.pandas_udf("length int, counts array<int>, phrases array<boolean>")
+    def of(*fields: pd.Series) -> pd.DataFrame:
+        runs = [" " + " ".join(p.words) + " " for p in wanted]
+        out = []
+        for texts in zip(*fields):
+            lists = [words(t) if t else [] for t in texts]
+            raw = Counter(w for own in lists for w in own)
+            kinds = {w: stem(w) for w in raw} if stemming else {w: w for w in raw}
+            stems: Counter = Counter()
+            for w, n in raw.items():
+                stems[kinds[w]] += n
+            counts = [sum(n for w, n in raw.items() if w.startswith(t.word) or kinds[w].startswith(t.word)) if t.prefix else stems[t.word] for t in every]
+            rows = [" " + " ".join([kinds[w] for w in own]) + " " for own in lists] if runs else []
+            out.append((sum(map(len, lists)), counts, [any(run in row for row in rows) for run in runs]))
+        return pd.DataFrame(out, columns=["length", "counts", "phrases"])
+
+    return of
+
+
 def all_terms(tree) -> list[Term]:
     if tree is None:
         return []
@@ -166,25 +182,22 @@ def search(rows: DataFrame, text: str, fields: list[str], id_column: str = "id",
     tree = Parser(text, stemming).parse()
     if tree is None:
         return rows.limit(0).withColumn("_score", F.lit(0.0))
-    analyse = stems_of if stemming else words_of
-    wide = rows.select("*", *[analyse(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"__s{k}") for k, f in enumerate(fields)], *([words_of(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"__w{k}") for k, f in enumerate(fields)] if any(t.prefix for t in all_terms(tree)) and stemming else []))
-    stems = [F.col(f"__s{k}") for k in range(len(fields))]
-    raw = [F.col(f"__w{k}") if any(t.prefix for t in all_terms(tree)) and stemming else s for k, s in enumerate(stems)]
-    every = all_terms(tree)
-    total = lambda t: sum((_count(t, s, w) for s, w in zip(stems, raw)), F.lit(0))
-    counted = wide.select("*", sum((F.size(s) for s in stems), F.lit(0)).alias("__length"), *[total(t).alias(f"__c{k}") for k, t in enumerate(every)])
-    counts = {t: F.col(f"__c{k}") for k, t in enumerate(every)}
+    every, wanted = all_terms(tree), phrases(tree)
+    mine = "profile_of_search"
+    while mine in rows.columns:
+        mine += "_"
+    counted = rows.select("*", profile(every, wanted, stemming)(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).alias(mine))
+    counts = {t: F.col(mine)["counts"][k] for k, t in enumerate(every)}
     scored = terms(tree)
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__length").alias("__mean"), *[F.sum((counts[t] > 0).cast("long")).alias(f"__d{every.index(t)}") for t in scored])
-    hits = counted.where(_matches(tree, counts, stems))
+    stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg(F.col(mine)["length"]).alias("mean"), F.array(*[F.sum((counts[t] > 0).cast("long")) for t in scored]).alias("holding")).alias(f"{mine}_stats"))
+    hits = counted.where(_matches(tree, counts, {p: F.col(mine)["phrases"][k] for k, p in enumerate(wanted)}))
     if allowed is not None:
         hits = hits.where(allowed)
-    score = F.lit(0.0)
-    for t in scored:
-        k = every.index(t)
-        n, df, tf = F.col("__n"), F.col(f"__d{k}"), F.col(f"__c{k}").cast("double")
+    score, all_of = F.lit(0.0), F.col(f"{mine}_stats")
+    for k, t in enumerate(scored):
+        n, df, tf, size = all_of["n"], all_of["holding"][k], counts[t].cast("double"), F.col(mine)["length"]
         idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("__length") / F.col("__mean")))).otherwise(0.0)
+        score = score + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size / all_of["mean"]))).otherwise(0.0)
     return hits.crossJoin(F.broadcast(stats)).select(*rows.columns, score.alias("_score"))  # stats is one row
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans import sql
 from ..plans.filters import filtered
 from ..streaming import changes
-from . import fulltext, graph, vectors
+from . import fulltext, graph, native, vectors
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -42,8 +42,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "sql_theta_join": ("SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
     "sql_semi_exists": ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)", None),
     "sql_semi_in": ("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", None),
-    "sql_anti_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", None),
-    "sql_anti_not_in": ("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)", None),
+    "sql_anti_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", None),
+    "sql_anti_not_in": ("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", None),
     "sql_rollup": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", None),
     "sql_cube": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),
     "sql_grouping_sets": ("SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())", None),
@@ -57,7 +57,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "sql_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier", None),
     "sql_union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier", None),
     "sql_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier", None),
-    "sql_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier", None),
+    "sql_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000", None),
     "sql_cte": ("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), few AS (SELECT * FROM big WHERE total > 500000) SELECT c.c_name, round(f.total, 2) AS total FROM few f JOIN customer c ON c.c_custkey = f.o_custkey", None),
     "sql_recursive_cte": ("WITH RECURSIVE up(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM up WHERE n < 50) SELECT n, total FROM up", None),
     "sql_values": ("SELECT v.k, r.r_name FROM (VALUES (0), (2), (9)) AS v(k) LEFT JOIN region r ON r.r_regionkey = v.k", None),
@@ -82,16 +82,20 @@ def bind_arguments(spark, sf_dir):
     return sql.statement(spark, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?", {"orders": table(spark, sf_dir, "orders")}, ["F", 100000.0])
 
 
-def keyset_page(spark, sf_dir):
-    """The page of rows after an id, in order of id."""
-    return table(spark, sf_dir, "orders").where(F.col("o_orderkey") > 500).orderBy("o_orderkey").limit(100).select("o_orderkey", "o_custkey")
-
-
 FILTERS = {
     "filter_comparison": ("orders", "o_totalprice > 150000 AND o_orderstatus <> 'F' OR o_orderkey IN (1, 2, 3)", [], "o_orderkey", None),
     "filter_like": ("customer", "c_mktsegment LIKE 'build%' AND NOT (c_name LIKE '%7')", [], "c_custkey", "c_mktsegment ILIKE 'build%' AND NOT (c_name ILIKE '%7')"),
     "filter_arithmetic": ("lineitem", "l_linenumber * 2 + 1 > 7 AND l_orderkey % 5 = 2 AND l_quantity / 2.0 < 10", [], "l_orderkey", "l_linenumber * 2 + 1 > 7 AND l_orderkey % 5 = 2 AND l_quantity / 2.0 < 10"),
-    "filter_between_case": ("part", "p_size BETWEEN 5 AND 20 AND CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END = 1", [], "p_partkey", None),
+    "filter_between": ("part", "p_size BETWEEN 5 AND 20 AND p_partkey NOT BETWEEN 50 AND 60", [], "p_partkey", None),
+    "filter_case": ("part", "CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'middle' ELSE 'small' END <> 'middle' AND CASE p_size % 2 WHEN 0 THEN 1 END = 1", [], "p_partkey", None),
+    "filter_is": ("orders", "(o_orderstatus IS NOT NULL) AND (o_custkey % 3 IS 1) AND NOT (o_totalprice IS NULL)", [], "o_orderkey", "o_orderstatus IS NOT NULL AND o_custkey % 3 = 1 AND o_totalprice IS NOT NULL"),
+    "filter_like_escape": ("part", "p_brand LIKE 'brand!#1_' ESCAPE '!' OR p_type LIKE '%!%%' ESCAPE '!' OR p_name LIKE '%a%'", [], "p_partkey", "p_brand ILIKE 'brand!#1_' ESCAPE '!' OR p_type ILIKE '%!%%' ESCAPE '!' OR p_name ILIKE '%a%'"),
+    "filter_concat": ("nation", "n_name || '/' || n_regionkey > 'F' AND '' || n_nationkey <> '3'", [], "n_nationkey", "n_name || '/' || CAST(n_regionkey AS VARCHAR) > 'F' AND CAST(n_nationkey AS VARCHAR) <> '3'"),
+    "filter_abs_unary": ("customer", "abs(c_acctbal) > 5000 AND -c_custkey < -10 AND +c_nationkey >= 5", [], "c_custkey", "abs(c_acctbal) > 5000 AND -c_custkey < -10 AND c_nationkey >= 5"),
+    "filter_lower_trim": ("customer", "lower(c_mktsegment) = 'building' AND trim('  ' || c_name || ' ') = c_name AND ltrim(c_name, 'Custmer#0') < '5' AND rtrim(c_name, '0123456789') <> c_name", [], "c_custkey", "lower(c_mktsegment) = 'building' AND trim('  ' || c_name || ' ') = c_name AND ltrim(c_name, 'Custmer#0') < '5' AND rtrim(c_name, '0123456789') <> c_name"),
+    "filter_replace_instr": ("part", "instr(p_type, 'E') > 2 AND length(replace(p_name, 'a', '')) < length(p_name)", [], "p_partkey", "instr(p_type, 'E') > 2 AND length(replace(p_name, 'a', '')) < length(p_name)"),
+    "filter_choice": ("lineitem", "coalesce(nullif(l_linenumber, 1), 9) > 5 AND ifnull(nullif(l_returnflag, 'N'), 'none') <> 'R' AND iif(l_quantity > 25, l_linenumber, 0) = 0", [], "l_orderkey", "coalesce(nullif(l_linenumber, 1), 9) > 5 AND coalesce(nullif(l_returnflag, 'N'), 'none') <> 'R' AND CASE WHEN l_quantity > 25 THEN l_linenumber ELSE 0 END = 0"),
+    "filter_times": ("events", "time(ts) >= '06:00:00' AND datetime(ts, '+2 hours') < datetime(ts, '+1 day') AND strftime('%w', ts) IN ('1', '3') AND julianday(ts) > 2400000.5", [], "event_id", "CAST(ts AS TIME) >= TIME '06:00:00' AND dayofweek(ts) IN (1, 3)"),
     "filter_arguments": ("orders", "o_orderpriority = ? AND o_custkey < ?", ["1-URGENT", 500], "o_orderkey", "o_orderpriority = '1-URGENT' AND o_custkey < 500"),
     "filter_functions": ("customer", "length(c_name) > 5 AND substr(c_name, -1) IN ('1', '3') AND upper(c_mktsegment) <> 'MACHINERY' AND round(c_acctbal) > 0", [], "c_custkey", "length(c_name) > 5 AND right(c_name, 1) IN ('1', '3') AND upper(c_mktsegment) <> 'MACHINERY' AND round(c_acctbal) > 0"),
     "filter_dates": ("orders", "date(o_orderdate, '+10 days') >= '1997-01-01' AND strftime('%m', o_orderdate) = '03'", [], "o_orderkey", "CAST(o_orderdate + INTERVAL 10 DAY AS DATE) >= DATE '1997-01-01' AND month(o_orderdate) = 3"),
@@ -115,10 +119,18 @@ def fulltext_bm25(spark, sf_dir):
 
 
 def fulltext_phrase(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return fulltext.best(fulltext.search(docs, '"the ering" OR ering NOT zzz', ["text"], "item_id"), 200, id_column="item_id").select("item_id", F.round("_score", 6).alias("score"))
+    """The documents that hold a phrase, without those that hold a word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fulltext.search(docs, f'"{WORDS[1]} {WORDS[2]}" OR ({WORDS[0]} NOT {WORDS[1]})', ["text"], "doc_id", stemming=False).select("doc_id")
+
+
+def fulltext_prefix(spark, sf_dir):
+    """How many documents have a word that begins so, and each word of a pair."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fulltext.search(docs, f"{WORDS[0][:4]}* AND {WORDS[1]}", ["text"], "doc_id", stemming=False).select("doc_id")
 
 
+_WORDS = "WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+') AS w FROM documents)"
 _BM25 = """
 WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+') AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
@@ -156,19 +168,14 @@ def graph_neighbors(spark, sf_dir):
 
 
 def graph_reach(spark, sf_dir):
-    """All that three hops from fifty orders lead to."""
-    seeds = table(spark, sf_dir, "orders").where("o_orderkey <= 50").select(F.lit("orders").alias("table"), F.col("o_orderkey").alias("id"))
-    return graph.reach(_edges(spark, sf_dir), seeds, 3)
-
-
-def graph_reach_all(spark, sf_dir):
     """All that three hops from every order lead to."""
     return graph.reach(_edges(spark, sf_dir), table(spark, sf_dir, "orders").select(F.lit("orders").alias("table"), F.col("o_orderkey").alias("id")), 3)
 
 
 def graph_path(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    walk = graph.find_path(edges, ("orders", 1), ("region", 1), max_hops=6, node_limit=1000, edge_limit=1000)
+    """The hops from the first order to its customer's region."""
+    first = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).agg(F.min_by(F.struct("o_orderkey", "n_regionkey"), "o_orderkey").alias("f")).first()["f"]
+    walk = graph.find_path(_edges(spark, sf_dir), ("orders", first["o_orderkey"]), ("region", first["n_regionkey"]), max_hops=6, node_limit=1000, edge_limit=1000)
     return spark.createDataFrame([(k, e["relation"], e["id"]) for k, e in enumerate(walk.path or [])], "step int, relation string, id long")
 
 
@@ -179,13 +186,9 @@ def keyed_merge(spark, sf_dir):
 
 
 def foreign_key_check(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).join(table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("k")), "k", "left_anti").groupBy("k").agg(F.count("*").alias("n"))
-
-
-def foreign_key_check_all(spark, sf_dir):
-    """The parts that lineitem names and the whole part table lacks; a null names none."""
-    named = table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL").select(F.col("l_partkey").alias("k"))
-    return named.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), "k", "left_anti").groupBy("k").agg(F.count("*").alias("n"))
+    """The customers that have no urgent order: the anti join by which a foreign key is checked, on a pair of tables that violates it."""
+    named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
+    return named.join(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k", "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 def unique_check(spark, sf_dir):
@@ -204,53 +207,46 @@ def events_sessions(spark, sf_dir):
     return changes.sessions(table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-def json_field(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.length("props").alias("size"), F.to_json(F.parse_json("props")).isNotNull().alias("valid"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{k: _sql(v[0]) for k, v in SQL.items()},
     "sql_bind_arguments": bind_arguments,
-    "read_rows_page": keyset_page,
     **{k: _filter(k) for k in FILTERS},
     "fulltext_bm25": fulltext_bm25,
     "fulltext_phrase": fulltext_phrase,
+    "fulltext_prefix": fulltext_prefix,
     "vector_top_k": vector_top_k,
     "vector_filtered": vector_filtered,
     "graph_neighbors": graph_neighbors,
     "graph_reach": graph_reach,
-    "graph_reach_all": graph_reach_all,
     "graph_path": graph_path,
     "keyed_merge": keyed_merge,
     "foreign_key_check": foreign_key_check,
-    "foreign_key_check_all": foreign_key_check_all,
     "unique_check": unique_check,
     "events_tumbling": events_tumbling,
     "events_sliding": events_sliding,
     "events_sessions": events_sessions,
-    "json_field": json_field,
+    **native.QUERIES,
 }
 
 ORACLE: dict[str, str] = {
     **{k: v[1] or v[0] for k, v in SQL.items()},
     "sql_bind_arguments": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000",
-    "read_rows_page": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100",
     **{k: f"SELECT {key} AS k FROM {of} WHERE {other or text}" for k, (of, text, _, key, other) in FILTERS.items()},
     "fulltext_bm25": _BM25,
+    "fulltext_phrase": f"{_WORDS} SELECT doc_id FROM t WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' {WORDS[1]} {WORDS[2]} ') OR list_contains(w, '{WORDS[0]}') AND NOT list_contains(w, '{WORDS[1]}')",
+    "fulltext_prefix": f"{_WORDS} SELECT doc_id FROM t WHERE len(list_filter(w, lambda x: starts_with(x, '{WORDS[0][:4]}'))) > 0 AND list_contains(w, '{WORDS[1]}')",
     "vector_top_k": f"SELECT vec_id, round({_COSINE}, 9) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT 10",
     "vector_filtered": f"SELECT vec_id, round({_COSINE}, 9) AS score FROM embeddings WHERE label IN (1, 3) AND {_COSINE} >= 0.05 ORDER BY {_COSINE} DESC, vec_id LIMIT 100",
     "graph_neighbors": "SELECT 'lives' AS relation, c_custkey AS id, c_custkey AS source_id, CAST(c_nationkey AS BIGINT) AS target_id FROM customer WHERE c_nationkey = 3",
-    "graph_reach": """WITH o AS (SELECT * FROM orders WHERE o_orderkey <= 50), c AS (SELECT DISTINCT c.* FROM o JOIN customer c ON c.c_custkey = o.o_custkey), n AS (SELECT DISTINCT n.* FROM c JOIN nation n ON n.n_nationkey = c.c_nationkey)
-SELECT 'orders' AS "table", o_orderkey AS id, 0 AS hops FROM o UNION ALL SELECT 'customer', c_custkey, 1 FROM c UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), 2 FROM n UNION ALL SELECT DISTINCT 'region', CAST(n_regionkey AS BIGINT), 3 FROM n""",
-    "graph_reach_all": """WITH c AS (SELECT DISTINCT c.* FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey), n AS (SELECT DISTINCT n.* FROM c JOIN nation n ON n.n_nationkey = c.c_nationkey)
+    "graph_reach": """WITH c AS (SELECT DISTINCT c.* FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey), n AS (SELECT DISTINCT n.* FROM c JOIN nation n ON n.n_nationkey = c.c_nationkey)
 SELECT 'orders' AS "table", o_orderkey AS id, 0 AS hops FROM orders UNION ALL SELECT 'customer', c_custkey, 1 FROM c UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), 2 FROM n UNION ALL SELECT DISTINCT 'region', CAST(n_regionkey AS BIGINT), 3 FROM n""",
     "keyed_merge": "SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS n FROM orders GROUP BY o_custkey",
-    "foreign_key_check": "SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) GROUP BY l_partkey",
-    "foreign_key_check_all": "SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey) GROUP BY l_partkey",
+    "graph_path": """WITH f AS (SELECT o_orderkey, c_custkey, n_nationkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey ORDER BY o_orderkey LIMIT 1)
+SELECT 0 AS step, 'places' AS relation, o_orderkey AS id FROM f UNION ALL SELECT 1, 'lives', c_custkey FROM f UNION ALL SELECT 2, 'lies', CAST(n_nationkey AS BIGINT) FROM f""",
+    "foreign_key_check": "SELECT c_nationkey, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY c_nationkey",
     "unique_check": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1",
     "events_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(18, 4))), 2) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "events_sliding": "SELECT strftime(s, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type FROM events UNION ALL SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, event_type FROM events) GROUP BY 1, 2",
     "events_sessions": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, s",
-    "json_field": "SELECT event_id, length(props) AS size, json_valid(props) AS valid FROM events",
+    **native.ORACLE,
 }

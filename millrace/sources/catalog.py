@@ -5,25 +5,29 @@ whole commit: for each table its schema, the data folders that are live, the nex
 nothing but unreferenced folders (vacuum removes them). Inserts add a folder; updates and deletes rewrite the table (copy on write).
 Every commit with rows appends change records under changes/, which are read as a table or as a stream; the manifest carries their sequence.
 
-Records of one call are at most 1000, so they pass through the driver; tables never do.
+Records of one call are at most 1000, so they pass through the driver; tables never do. append() takes a DataFrame of any size; ids and change records of sets of rows are made by the
+executors. A change folder is announced to streams by a marker file once the manifest that names it is published, so subscribers see committed changes only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import fulltext, graph, vectors
 from ..plans import sql
 from ..plans.filters import columns_of, compiled
-from .schema import MOST_KEYS, SEGMENT, Constraint, Field, SchemaError, TableSchema, coerce, decoded, shaped
+from .schema import MOST_KEYS, SEGMENT, STORED, Constraint, Field, SchemaError, TableSchema, coerce, decoded, shaped
 
 MOST_RECORDS, MOST_WRITES, MOST_DELETED = 1000, 100, 1000
 CHANGE = "seq long, table string, row_id long, kind string, owner string, commit_id string, ns_gen string, drop_gen long, at string"
@@ -72,10 +76,24 @@ class Files:
         stream.write(bytearray(text.encode()))
         stream.close()
         self.fs.mkdirs(self.path(name).getParent())
-        if self.fs.exists(self.path(name)) or not self.fs.rename(draft, self.path(name)):
+        try:
+            if self.fs.getScheme() == "file":  # a link fails where the name is taken, in one step; a local rename would replace it
+                there, here = (self.jvm.java.io.File(self.path(p).toUri().getPath()).toPath() for p in (f"drafts/{draft.getName()}", name))
+                try:
+                    self.jvm.java.nio.file.Files.createLink(here, there)
+                except Py4JJavaError as e:
+                    if "FileAlreadyExistsException" in str(e.java_exception):
+                        return False
+                    raise
+                return True
+            # HDFS and its like refuse a rename to a name that is taken, in one step
+            return not self.fs.exists(self.path(name)) and self.fs.rename(draft, self.path(name))
+        finally:
             self.fs.delete(draft, False)
-            return False
-        return True
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder changed."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
@@ -143,7 +161,8 @@ class Transaction:
         self.ns, self.state = ns, json.loads(json.dumps(ns.manifest()))
         self.commit_id, self.at = uuid4().hex, now()
         self.changes: list[tuple] = []
-        self.frames: dict[str, DataFrame] = {}
+        self.noted: list[DataFrame] = []  # change records that the executors make
+        self.firsts: list[int] = []
         self.touched: set[str] = set()
 
     def table(self, name: str) -> dict:
@@ -189,6 +208,51 @@ class Transaction:
             self.changes.append((self.state["next_seq"], name, i, kind, owner, self.commit_id, self.state["ns_gen"], self.table(name)["drop_gen"], self.at))
             self.state["next_seq"] += 1
 
+    def numbered(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The rows, stored, with a column `__n` that counts them from 0 in their order, and how many there are. Only a number for each task comes to the driver."""
+        folder = f"{self.ns.root}/drafts/{uuid4().hex}"
+        df.withColumn("__n", F.monotonically_increasing_id()).write.parquet(folder)
+        stored, task, place = self.ns.spark.read.parquet(folder), F.shiftright("__n", 33), F.col("__n").bitwiseAND((1 << 33) - 1)
+        held = {r[0]: r[1] for r in stored.groupBy(task).agg(F.max(place) + 1).collect()}
+        before, total = [], 0
+        for k in range(max(held, default=-1) + 1):
+            before.append(total)
+            total += held.get(k, 0)
+        first = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (task + 1).cast("int")) if before else F.lit(0).cast("long")
+        return stored.withColumn("__n", first + place), total
+
+    def note_set(self, name: str, rows: DataFrame, kind: str) -> int:
+        """Change records of a set of rows (id, owner) in order of id; gives their number."""
+        stored, n = self.numbered(rows.select("id", "owner").orderBy("id"))
+        t = self.table(name)
+        lits = {"table": name, "kind": kind, "commit_id": self.commit_id, "ns_gen": self.state["ns_gen"], "at": self.at}
+        made = stored.select((F.col("__n") + self.state["next_seq"]).alias("seq"), F.lit(lits["table"]).alias("table"), F.col("id").alias("row_id"), F.lit(kind).alias("kind"), "owner", F.lit(self.commit_id).alias("commit_id"), F.lit(lits["ns_gen"]).alias("ns_gen"), F.lit(t["drop_gen"]).cast("long").alias("drop_gen"), F.lit(self.at).alias("at"))
+        if n:
+            self.touched.add(name)
+            self.noted.append(made)
+            self.firsts.append(self.state["next_seq"])
+            self.state["next_seq"] += n
+        return n
+
+    def append_set(self, name: str, df: DataFrame, scope: Scope) -> int:
+        """Rows of a DataFrame, in their order, with the ids that follow; gives their number. Columns are fields by name; those that are missing get their default or null."""
+        t, schema = self.table(name), self.schema(name)
+        if unknown := set(df.columns) - {f.name for f in schema.fields}:
+            raise SchemaError(f"no field {sorted(unknown)[0]!r} in {name!r}")
+        stored, n = self.numbered(df.select(*[taken_in(f, df.schema[f.name].dataType if f.name in df.columns else None, self.at).alias(f.name) for f in schema.fields]))
+        bad = stored.where(F.lit(False) if not schema.fields else F.greatest(*[_breaks(f).cast("int") for f in schema.fields], F.lit(0)) > 0).limit(1).collect()
+        if bad:
+            raise ValueError(f"a row of {name!r} lacks a required field or breaks an enumeration or dimension: {bad[0].asDict(recursive=True)}")
+        whole = stored.select((F.col("__n") + t["next_id"]).alias("id"), F.lit(self.at).alias("created_at"), *([F.lit(scope.owner).cast("string").alias("owner")] * (schema.row_access == "own")), *[f.name for f in schema.fields])
+        folder = f"data/{name}/{uuid4().hex}"
+        whole.write.parquet(f"{self.ns.root}/{folder}")
+        if n:
+            t["folders"].append(folder)
+            t["rows"] += n
+            self.note_set(name, whole.select("id", F.lit(scope.owner).cast("string").alias("owner")), "insert")
+            t["next_id"] += n
+        return n
+
     def check(self) -> None:
         """Declared constraints of all touched tables, and those that refer to them, on the final state."""
         for name, t in self.state["tables"].items():
@@ -214,13 +278,54 @@ class Transaction:
 
     def commit(self) -> None:
         self.check()
-        if self.changes:
-            first = self.changes[0][0]
-            self.ns.spark.createDataFrame(self.changes, CHANGE).coalesce(1).write.parquet(f"{self.ns.root}/changes/{first:012d}-{self.commit_id}")
-            self.state.setdefault("change_folders", []).append(f"changes/{first:012d}-{self.commit_id}")
+        if self.changes or self.noted:
+            first = min([c[0] for c in self.changes[:1]] + self.firsts)
+            folder = f"changes/{first:012d}-{self.commit_id}"
+            if self.changes:
+                self.ns.spark.createDataFrame(self.changes, CHANGE).coalesce(1).write.parquet(f"{self.ns.root}/{folder}")
+            for made in self.noted:
+                made.write.mode("append").parquet(f"{self.ns.root}/{folder}")
+            self.state.setdefault("change_folders", []).append(folder)
         self.state["version"] += 1
         if not self.ns.files.publish(f"manifests/{self.state['version']:010d}.json", json.dumps(self.state)):
             raise Conflict("another commit came first; try again")
+        if self.changes or self.noted:
+            self.ns.announce(self.state["change_folders"][-1:])
+
+
+def taken_in(f: Field, kind: T.DataType | None, at: str) -> Column:
+    """A DataFrame's column as the field stores it."""
+    if kind is None:
+        default = None if f.default is None else coerce(f, at if f.default == "now()" else f.default)
+        return _literal_of(STORED[f.type], default)
+    c = F.col(f.name)
+    if f.type == "number":
+        if isinstance(kind, T.IntegralType):
+            return F.when(c.isNotNull(), F.struct(c.cast("long").alias("i"), F.lit(None).cast("double").alias("r")))
+        if isinstance(kind, (T.FractionalType, T.DecimalType)):
+            return F.when(c.isNotNull(), F.struct(F.lit(None).cast("long").alias("i"), c.cast("double").alias("r")))
+    elif f.type == "timestamp" and isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    elif f.type == "vector" and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.transform(c, lambda v: F.coalesce(v.cast("float"), F.lit(float("nan")).cast("float")))  # null components are refused with those that aren't numbers
+    elif f.type in ("string", "text", "boolean", "json") and kind == STORED[f.type]:
+        return c
+    raise SchemaError(f"a column of {kind.simpleString()} can't fill the {f.type} field {f.name!r}")
+
+
+def _breaks(f: Field) -> Column:
+    c, out = F.col(f.name), F.lit(False)
+    if f.required:
+        out = out | c.isNull()
+    if f.enum is not None:
+        out = out | (c.isNotNull() & ~c.isin(*f.enum))
+    if f.type == "vector":
+        out = out | (c.isNotNull() & ((F.size(c) != f.dim) | F.exists(c, lambda v: F.isnan(v) | (F.abs(v) == float("inf")))))
+    if f.type in ("string", "text"):
+        out = out | F.coalesce(c.contains("\0"), F.lit(False))
+    if f.type == "json":
+        out = out | (c.isNotNull() & F.try_parse_json(c).isNull())
+    return out
 
 
 def _key(schema: TableSchema, name: str) -> Column:
@@ -291,8 +396,23 @@ class Namespace:
         del tx.state["tables"][name]
         tx.commit()
 
-    def vacuum(self) -> int:
-        """Deletes data folders that no table has; compacts tables of many folders first."""
+    def announce(self, folders: Sequence[str] | None = None) -> None:
+        """Marker files for the manifest's change folders, which streams read. A commit that died before its marker is announced by the next caller without folders."""
+        there = None if folders is not None else set(self.files.names("feed"))
+        for folder in folders if folders is not None else self.manifest().get("change_folders", []):
+            name = folder.partition("/")[2]
+            if there is None or name not in there:
+                self.files.publish(f"feed/{name}", f"{folder}\n")
+
+    def append(self, table: str, rows: DataFrame, scope: Scope = Scope()) -> int:
+        """A DataFrame's rows as one commit, whatever their number; gives it. Constraints are checked on the final state."""
+        tx = Transaction(self)
+        n = tx.append_set(table, rows, scope)
+        tx.commit()
+        return n
+
+    def vacuum(self, grace: float = 3600.0) -> int:
+        """Deletes data and draft folders that no table has; compacts tables of many folders first. What is younger than `grace` seconds stays, since a writer may be about to publish it or a reader have its manifest."""
         tx = Transaction(self)
         for name, t in tx.state["tables"].items():
             if len(t["folders"]) > 16:
@@ -302,9 +422,12 @@ class Namespace:
         gone = 0
         for table in self.files.names("data"):
             for folder in self.files.names(f"data/{table}"):
-                if f"data/{table}/{folder}" not in live:
+                if f"data/{table}/{folder}" not in live and self.files.age(f"data/{table}/{folder}") >= grace:
                     self.files.delete(f"data/{table}/{folder}")
                     gone += 1
+        for draft in self.files.names("drafts"):
+            if self.files.age(f"drafts/{draft}") >= grace:
+                self.files.delete(f"drafts/{draft}")
         return gone
 
     # reads
@@ -512,7 +635,10 @@ def _insert(tx: Transaction, table: str, scope: Scope, records: Sequence[Mapping
 
 
 def _literal(schema: TableSchema, name: str, value) -> Column:
-    kind = schema.stored()[name].dataType
+    return _literal_of(schema.stored()[name].dataType, value)
+
+
+def _literal_of(kind: T.DataType, value) -> Column:
     if value is None:
         return F.lit(None).cast(kind)
     if isinstance(value, dict):
@@ -522,20 +648,19 @@ def _literal(schema: TableSchema, name: str, value) -> Column:
     return F.lit(bytearray(value) if isinstance(value, bytes) else value).cast(kind)
 
 
-def _rewrite(tx: Transaction, table: str, scope: Scope, where: Column, values: Mapping) -> list[tuple]:
-    """Sets fields where the condition holds (and the scope allows); gives the rows' ids and owners."""
+def _rewrite(tx: Transaction, table: str, scope: Scope, where: Column, values: Mapping) -> int:
+    """Sets fields where the condition holds (and the scope allows); gives the number of rows."""
     schema, whole = tx.schema(table), tx.rows(table)
     if scope.owner is not None and schema.row_access == "own":
         where = where & (F.col("owner") == scope.owner)
     hit = F.coalesce(where, F.lit(False))
     owner = F.col("owner") if schema.row_access == "own" else F.lit(None).cast("string")
-    rows = [(r[0], r[1]) for r in whole.where(hit).select("id", owner).orderBy("id").collect()]
-    if rows:
+    n = tx.note_set(table, whole.where(hit).select("id", owner.alias("owner")), "update")
+    if n:
         changed = whole.withColumn("__hit", hit)
         changed = changed.select(*[F.when(F.col("__hit"), _literal(schema, c, values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in whole.columns])
         tx.replace(table, changed, tx.table(table)["rows"])
-        tx._note(table, rows, "update")
-    return rows
+    return n
 
 
 def _update(tx: Transaction, table: str, scope: Scope, filter: str, set: Mapping, args: Sequence = ()) -> int:
@@ -543,7 +668,7 @@ def _update(tx: Transaction, table: str, scope: Scope, filter: str, set: Mapping
     values = _record(schema, set, tx.at, partial=True)
     if not values:
         raise ValueError("nothing is set")
-    return len(_rewrite(tx, table, scope, compiled(filter, columns_of(tx.rows(table), schema.numbers()), args), values))
+    return _rewrite(tx, table, scope, compiled(filter, columns_of(tx.rows(table), schema.numbers()), args), values)
 
 
 def _upsert(tx: Transaction, table: str, scope: Scope, filter: str, set: Mapping, args: Sequence = ()) -> int:
@@ -562,8 +687,7 @@ def _delete(tx: Transaction, table: str, scope: Scope, filter: str, args: Sequen
         raise Conflict(f"{n} rows would go; confirm it")
     if n:
         owner = F.col("owner") if schema.row_access == "own" else F.lit(None).cast("string")
-        rows = [(r[0], r[1]) for r in whole.where(hit).select("id", owner).orderBy("id").collect()]
-        tx._note(table, rows, "delete")
+        tx.note_set(table, whole.where(hit).select("id", owner.alias("owner")), "delete")
         tx.replace(table, whole.where(~hit), tx.table(table)["rows"] - n)
     return n
 

@@ -98,20 +98,32 @@ def prune(ns: Namespace, before: str) -> int:
             raise ValueError("another commit came first; try again")
         for k in gone:
             ns.files.delete(folders[k])
+            ns.files.delete(f"feed/{folders[k].partition('/')[2]}")
     return state.get("pruned_to", 0)
 
 
-def stream(ns: Namespace, most_files: int = 100) -> DataFrame:
-    """The feed as a stream; its checkpoint is the consumer's cursor."""
-    return ns.spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", most_files).option("recursiveFileLookup", "true").parquet(f"{ns.root}/changes")
+def stream(ns: Namespace, most_commits: int = 100) -> DataFrame:
+    """Commits as a stream: the names of their change folders, which are announced once they are published. Its checkpoint is the consumer's cursor."""
+    ns.announce()
+    ns.files.fs.mkdirs(ns.files.path("feed"))
+    return ns.spark.readStream.option("maxFilesPerTrigger", most_commits).text(f"{ns.root}/feed")
 
 
-def subscribe(ns: Namespace, consume: Callable[[DataFrame, int], None], checkpoint: str, table: str | None = None, once: bool = False):
-    """Calls consume(rows, batch number) with new records: first those that there are, then live ones. A batch may come again after a failure, with the same number."""
-    df = stream(ns)
-    if table is not None:
-        df = df.where(F.col("table") == table)
-    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(consume)
+def subscribe(ns: Namespace, consume: Callable[[DataFrame, int], None], checkpoint: str, table: str | None = None, once: bool = False, scope: Scope = Scope()):
+    """Calls consume(rows, batch number) with the records of new commits: first those that there are, then live ones. A batch may come again after a failure, with the same number."""
+
+    def told(commits: DataFrame, batch: int) -> None:
+        live = set(ns.manifest().get("change_folders", []))
+        folders = sorted(r[0] for r in commits.collect() if r[0] in live)  # at most `most_commits` names; pruned ones are gone
+        if folders:
+            df = ns.spark.read.schema(CHANGE).parquet(*[f"{ns.root}/{f}" for f in folders])
+            if table is not None:
+                df = df.where(F.col("table") == table)
+            if scope.owner is not None:
+                df = df.where(F.col("owner") == scope.owner)
+            consume(df, batch)
+
+    writer = stream(ns).writeStream.option("checkpointLocation", checkpoint).foreachBatch(told)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
