@@ -123,15 +123,20 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-            if trim is not None:
-                trim(0)
+            release()
 
     return tidied
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows and, but for single rows that are longer, of `most` bytes of text, so that Python never holds many texts at once."""
     for batch in batches:

@@ -32,7 +32,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 class Tokenised:
     """Ids of whole texts by the tokenizers library, which is asked once for each different part of a batch that the worker hasn't met."""
 
-    def __init__(self, path: str, memo: int = 120_000):
+    def __init__(self, path: str, memo: int = 60_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,13 +45,13 @@ class Tokenised:
         bare = Tokenizer(library.model)  # for words in lower case, which normalisers leave as they are and no pattern parts
         bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-        def ids(new: list[str]) -> list[list[int]]:
-            fine = pc.match_substring_regex(pa.array(new, pa.string()), f"^[{PLAIN}]+$").to_pylist()
-            made: dict[str, list[int]] = {}
-            for kind, encoder in ((True, bare), (False, library)):
-                some = [x.lower() if kind else x for x, f in zip(new, fine) if f is kind]
-                made.update(zip([x for x, f in zip(new, fine) if f is kind], [e.ids for e in encoder.encode_batch_fast(some, add_special_tokens=False)]))  # without offsets, which are most of the work
-            return [made[x] for x in new]
+        def ids(new: list[str]) -> Iterator[list[int]]:
+            for at in range(0, len(new), 4096):  # an Encoding holds much more than its ids
+                some = new[at : at + 4096]
+                fine = pc.match_substring_regex(pa.array(some, pa.string()), f"^[{PLAIN}]+$").to_pylist()
+                plain = iter(bare.encode_batch_fast([x.lower() for x, f in zip(some, fine) if f], add_special_tokens=False))  # without offsets, which are most of the work
+                other = iter(library.encode_batch_fast([x for x, f in zip(some, fine) if not f], add_special_tokens=False))
+                yield from [next(plain if f else other).ids for f in fine]
 
         self.codes = Codes(ids, memo)
 
@@ -74,7 +74,7 @@ def cut(documents: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -
             _LOADED[vocabulary] = Tokenised(vocabulary)
         tokenised, end = _LOADED[vocabulary], np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in slices(batches, 1000, 3 << 20):
+        for batch in slices(batches, 1000, 3 << 19):
             ends, ids = tokenised.batch(batch.column(1))
             raw, ends = ids.astype("<u4").tobytes(), ends.tolist()
             out: list[list] = [[] for _ in range(6)]

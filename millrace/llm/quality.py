@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, fold, slices, table, tidy
+from .common import Bounded, fold, release, slices, table, tidy
 from .toxicity import NOT_WORD, sampled, share_of
 
 BITS, FACTORS, BINS = 16, 8, 12
@@ -183,7 +183,9 @@ def score(documents: DataFrame, model: Machine | float, metadata: list[str]) ->
 
 def learn(documents: DataFrame, labels: DataFrame, metadata: list[str], most: int = MOST, characters: int = CHARACTERS) -> Machine | float:
     rows = sampled(documents, labels, "quality", 4, 2, most, characters, tuple(F.col(m).cast("double").alias(m) for m in metadata))
-    return fit(examples(rows.select("doc_id", "text", "y", *metadata), metadata), share_of(labels, "quality", 4, 2))
+    model = fit(examples(rows.select("doc_id", "text", "y", *metadata), metadata), share_of(labels, "quality", 4, 2))
+    release()
+    return model
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

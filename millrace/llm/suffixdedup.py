@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import slices, table, tidy, written
 from .lyndon import suffix_order
 
-GRAM, SEGMENT = 32, 1 << 19
+GRAM, SEGMENT = 32, 1 << 18
 HEAVY = 2000
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

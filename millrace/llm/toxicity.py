@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, fold, slices, table, tidy
+from .common import Bounded, fold, release, slices, table, tidy
 
 BITS = 18
 SENTENCES = re.compile(r"[^.!?\n]+")
@@ -178,7 +178,9 @@ def clean(documents: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.
 
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST, characters: int = CHARACTERS) -> tuple[np.ndarray, float]:
-    return fit(bags(sampled(documents, labels, "toxic", 5, 0, most, characters)), share_of(labels, "toxic", 5, 0))
+    model = fit(bags(sampled(documents, labels, "toxic", 5, 0, most, characters)), share_of(labels, "toxic", 5, 0))
+    release()
+    return model
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
