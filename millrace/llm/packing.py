@@ -32,7 +32,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 class Tokenised:
     """Ids of whole texts by the tokenizers library, which is asked once for each different part of a batch that the worker hasn't met."""
 
-    def __init__(self, path: str, memo: int = 60_000):
+    def __init__(self, path: str, memo: int = 160_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
