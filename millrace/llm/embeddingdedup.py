@@ -1,15 +1,15 @@
 """Embedding near-dedup by randomised-rotation binary codes.
 
-Equal vectors of a label are one row with a count. Each row has several keys, each of some bits of its rotated sign codes; rows
-that share a label and a key meet. Their packed codes and correction factors give an unbiased estimate and a confidence bound of each cosine: pairs
+Equal vectors of a label are one row with a count, coded once. Each row has several keys, each of some bits of its rotated sign codes; rows
+that share a label and a key meet, in one shuffle. Their packed codes and correction factors give an unbiased estimate and a confidence bound of each cosine: pairs
 whose upper bound is below the threshold are left, all others are recomputed in double precision. Two vectors at the threshold share no
 key with a probability of `miss` / rows, which the number of keys follows from: of a table whose vectors have a link at the threshold each, `miss` links are lost.
 
-Keys with many rows are split into tiles, pairs of bounded blocks, so a group of any size is spread over tasks. A tile gives one row for each vector: how many
+Keys with more rows than a block are counted first and split into tiles, pairs of bounded blocks, so a group of any size is spread over tasks. A tile gives one row for each vector: how many
 linked vectors it has there (a pair counts under the first key that it shares) and the smallest id it is linked with, never the pairs themselves.
 
 Vectors that are null, zero, or hold null or non-finite components, or whose label is null, link with nothing; lengths are never mixed. Rows with a null id are dropped.
-Repeated rows (same id) count as vectors of their own in n_links and give a row each.
+Repeated rows (same id) count as vectors of their own in n_links and give a row each; where an id has different vectors, each of its rows has the links of all of them and one class.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructType
 
 from . import rabitq
-from .common import slices, table, tidy, written
+from .common import MOST_IDS, table, tidy, written
 from .components import components
 from .neighbours import groups, usable
 
@@ -37,35 +37,33 @@ def shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
 
 
 def keyed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
-    """Each row with its keys, an array of `tables` numbers from disjoint bits of as many rotations as are needed."""
-    schema = "vec_id long, label long, dim int, v array<double>, n long, keys array<int>"
+    """Each row with its code, its factor and its keys, an array of `tables` numbers from disjoint bits of as many rotations as are needed."""
+    kind, width = (ShortType(), pa.int16()) if bits < 16 else (IntegerType(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
-            for dim in np.unique(batch.column(2).to_numpy()):
-                some = batch.filter(pa.compute.equal(batch.column(2), pa.scalar(dim, pa.int32())))
-                v = rabitq.vectors(some.column(3))
-                unit = v / np.linalg.norm(v, axis=1)[:, None]
-                codes, seed = [], 1
-                while sum(c.shape[1] for c in codes) < bits * tables:
-                    codes.append((unit.astype(np.float32) @ rabitq.rotation(int(dim), seed).T) > 0)
-                    seed += 1
-                code = np.concatenate(codes, axis=1)[:, : bits * tables].reshape(len(v), tables, bits)
-                keys = code @ (1 << np.arange(bits, dtype=np.int64))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[some.column(k) for k in range(5)], flat], names=[x.split()[0] for x in schema.split(", ")])
-
-    return rows.select("vec_id", "label", "dim", "v", "n").mapInArrow(tidy(run), schema)
-
-
-def _tile(table: int, first: bool, side, ids, n, keys, v, threshold: float):
+        for some, dim, unit in rabitq.by_dim(batches):
+            signs, seed = [], 1
+            while sum(c.shape[1] for c in signs) < bits * tables:
+                signs.append((unit.astype(np.float32) @ rabitq.rotation(dim, seed).T) > 0)
+                seed += 1
+            sign = np.concatenate(signs, axis=1)[:, : bits * tables].reshape(len(unit), tables, bits)
+            keys = sign @ (1 << np.arange(bits, dtype=np.int64))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel(), width))
+            code, factor = rabitq.encode(unit)
+            yield pa.RecordBatch.from_arrays([*some.columns, rabitq.binary(code), pa.array(factor, pa.float64()), flat], names=[*some.schema.names, "code", "factor", "keys"])
+
+    some = rows.select("vec_id", "label", "dim", "v", "n")
+    return some.mapInArrow(tidy(run), StructType(list(some.schema)).add("code", "binary").add("factor", "double").add("keys", ArrayType(kind)))
+
+
+def _tile(table: int, first: bool, side, ids, n, keys, v, code, factor, threshold: float):
     """(id, linked, root) of the rows of one tile that are linked in it; side 0 meets side 1, or itself in a tile of one block."""
     left = np.flatnonzero(side == 0)
     right = left if first else np.flatnonzero(side == 1)
     if not len(left) or not len(right):
         return None
     unit = v / np.linalg.norm(v, axis=1)[:, None]
-    bits, factors = rabitq.encode(unit[right])
+    bits, factors = code[right], factor[right]
     a, b = [], []
     for at in range(0, len(left), 512):
         some = left[at : at + 512]
@@ -102,19 +100,21 @@ def _tile(table: int, first: bool, side, ids, n, keys, v, threshold: float):
 def links(rows: DataFrame, threshold: float = 0.93, miss: float = 1e-3, block: int = 1024) -> DataFrame:
     """vec_id, linked, root: partial results of tiles over rows (vec_id, label, dim, v, n)."""
     bits, tables = shape(rows.count(), threshold, miss)
-    each = keyed(rows, bits, tables).select("*", F.posexplode("keys").alias("table", "key"))
-    sizes = each.groupBy("label", "dim", "table", "key").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    met = each.join(sizes, ["label", "dim", "table", "key"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    each = written(keyed(rows, bits, tables), "codes").select("*", F.posexplode("keys").alias("table", "key"))
+    of = ["label", "dim", "table", "key"]
+    split = written(each.groupBy(of).agg(F.count("*").alias("size")).where(F.col("size") > block).select(*of, F.ceil(F.col("size") / block).cast("int").alias("blocks")), "split")
+    met = each.join(F.broadcast(split) if split.count() <= MOST_IDS else split, of, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = met.withColumn("other", other).select(
-        "label", "dim", "table", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "vec_id", "n", "keys", "v"
+        *of, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "vec_id", "n", "keys", "v", "code", "factor"
     )
     dealt = tiles.repartition("label", "dim", "table", "key", "i", "j").sortWithinPartitions("label", "dim", "table", "key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[], [], []]
-        for key, (side, ids, n, keys, v) in groups(batches, 6):
-            got = _tile(int(key[2]), key[4] == key[5], side, ids, n, keys.astype(np.int64), v, threshold)
+        for key, (side, ids, n, keys, v, code, factor) in groups(batches, 6, alone=False):
+            got = _tile(int(key[2]), key[4] == key[5], side, ids, n, keys.astype(np.int64), v, code, factor, threshold)
             if got is not None:
                 for column, x in zip(out, got):
                     column.append(x)

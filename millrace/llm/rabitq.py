@@ -7,7 +7,13 @@ EPSILON * sqrt((1 - f^2) / f^2 / (D - 1)) but for rare cases.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import slices
 
 EPSILON = 1.9
 
@@ -40,6 +46,25 @@ def estimate(queries: np.ndarray, bits: np.ndarray, factors: np.ndarray, seed: i
     return turned @ signs(bits, dim).T / (np.sqrt(dim) * factors), bound
 
 
+def binary(bits: np.ndarray) -> pa.Array:
+    """Packed bits as an Arrow column, one value for each row."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(bits), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+
+
+def packed(column) -> np.ndarray:
+    """The matrix of bytes of such a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def by_dim(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Slices of the batches with one `dim` each, that dim, and their `v` as unit vectors."""
+    for batch in slices(batches, rows):
+        for dim in np.unique(batch.column("dim").to_numpy()):
+            some = batch.filter(pc.equal(batch.column("dim"), pa.scalar(dim, pa.int32())))
+            v = vectors(some.column("v"))
+            yield some, int(dim), v / np.linalg.norm(v, axis=1)[:, None]
+
+
 def vectors(column) -> np.ndarray:
     """Arrow list column of equally long lists as a matrix of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

@@ -11,7 +11,8 @@ cross documents.
    with enough common bytes are equal; all but the first of them are repeats.
 3. Anchors with over `heavy` different records (a frequent line of less than a window) aren't ordered in one task: their windows are grouped by digest, which has no group to gather.
 
-Null texts are empty. Texts shorter than a window lose nothing. Rows that repeat an id are taken for one document, and each gives its row. An empty table gives an empty result.
+Null texts are empty. Texts shorter than a window lose nothing. Rows that repeat an id are taken for one document, and each gives its row. Rows with a null id come before and after nothing: removed() drops them, without_repeats() keeps them as they are.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, tidy, written
+from .common import slices, table, tidy, unused, written
 from .lyndon import suffix_order
 
 GRAM, SEGMENT = 32, 1 << 18
@@ -363,7 +364,8 @@ def removed(documents: DataFrame, width: int = 100, heavy: int = HEAVY) -> DataF
 def without_repeats(documents: DataFrame, width: int = 100, heavy: int = HEAVY) -> DataFrame:
     """The rows with repeated text taken out of `text`, in whole characters (one that is repeated in part only stays), and n_chars, where there is such a column, counted anew. All rows and columns stay."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    found = spans(texts, width, heavy).withColumnRenamed("spans", "__spans")
+    own = unused("spans", documents.columns)
+    found = spans(texts, width, heavy).withColumnRenamed("spans", own)
     schema, where, n = documents.schema, documents.columns.index("text"), len(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +375,7 @@ def without_repeats(documents: DataFrame, width: int = 100, heavy: int = HEAVY)
             columns[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    joined = documents.join(found, "doc_id", "left").select(*documents.columns, "__spans")
+    joined = documents.join(found, "doc_id", "left").select(*documents.columns, own)
     return counted(joined.mapInArrow(tidy(run), schema))
 
 

@@ -4,7 +4,9 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import components, embeddingdedup, jaccard, linededup, neighbours, suffixdedup
 from millrace.llm.lyndon import suffix_order
@@ -208,3 +210,39 @@ def test_embedding_dedup(spark, block, monkeypatch):
     assert found >= 0.995 * sum(c for i, c in links.items() if i != 5) and all(got[i].n_links <= links[i] for i in got if i != 5)
     assert sum(got[i].component_id != want[i] for i in got) <= 2 and all(r.kept == (i == r.component_id) for i, r in got.items())
     assert got[2000].n_links == 0 and got[2002].component_id == 2002
+
+
+def test_vectors_of_nothing(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embeddingdedup.dedup(none).count() == 0
+    fine = neighbours.usable(none, "vec_id", "embedding")
+    assert neighbours.search(fine, fine).count() == 0
+    only = neighbours.usable(spark.createDataFrame([(20, [1.0, 0.5])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert neighbours.search(only, only).count() == 0
+
+
+def test_vectors_stay_as_stored(spark):
+    """Doubles that floats can't hold decide ties, names that clash with working columns and repeated ids do no harm."""
+    rows = [(20, [1.0, 1.0]), (1, [1.0, 1.0 + 1e-12]), (2, [1.0, 1.0]), (3, [1.0, 1.0 + 2e-12]), (3, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({n: F.lit(1) for n in ("v", "dim", "code", "factor", "key", "table", "label")})
+    fine = neighbours.usable(df, "vec_id", "embedding")
+    got = [(r.rank, r.vec_id, r.score) for r in neighbours.search(fine.where("vec_id = 20"), fine).orderBy("rank").collect()]
+    assert [g[1] for g in got] == [3, 1, 2, 3] and got[0][2] > got[1][2] > 2.0 and got[2][2] == 2.0
+    links = embeddingdedup.dedup(df).groupBy("vec_id").agg(F.max("n_links").alias("n"), F.max("component_id").alias("c")).collect()
+    assert {(r.vec_id, r.n, r.c) for r in links} == {(20, 4, 1), (1, 4, 1), (2, 4, 1), (3, 8, 1)}  # both vectors of id 3
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_runs_over_batches(size):
+    keys = [0, 1, 1, 2, 3, 3, 3, 4, 5, 5, 6]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(range(k, min(k + size, len(keys))))], names=["key", "n"]) for k in range(0, len(keys), size)]
+    every = [(int(key[0]), n.tolist()) for key, (n,) in neighbours.groups(iter(batches), 1)]
+    assert every == [(k, [i for i, x in enumerate(keys) if x == k]) for k in range(7)]
+    assert [x for x in every if len(x[1]) > 1] == [(int(key[0]), n.tolist()) for key, (n,) in neighbours.groups(iter(batches), 1, alone=False)]
+
+
+def test_repeats_with_clashing_names(spark):
+    text = "the same words of a passage that is long enough to be a window of one hundred bytes, and a few more of them"
+    df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (None, text, "c")], "doc_id long, text string, spans string").withColumn("__spans", F.lit(1))
+    got = suffixdedup.without_repeats(df)
+    assert got.columns == df.columns and {(r.doc_id, r.text, r.spans) for r in got.collect()} == {(1, text, "a"), (2, "", "b"), (None, text, "c")}
