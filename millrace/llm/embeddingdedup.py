@@ -29,9 +29,9 @@ from .components import components
 from .neighbours import groups, usable
 
 
-def shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
-    """Bits of a key and number of keys for n rows."""
-    bits = min(20, max(6, ceil(log2(max(n, 2) / 64))))
+def shape(n: int, largest: int, threshold: float, miss: float) -> tuple[int, int]:
+    """Bits of a key and number of keys for n rows. Only rows of a label meet, so the bits follow from the rows of the largest one: about 64 of them share a key by chance."""
+    bits = min(20, max(6, ceil(log2(max(largest, 2) / 64))))
     same = 1 - acos(threshold) / pi
     return bits, ceil(log(miss / max(n, 1)) / log(1 - same**bits))
 
@@ -99,7 +99,8 @@ def _tile(table: int, first: bool, side, ids, n, keys, v, code, factor, threshol
 
 def links(rows: DataFrame, threshold: float = 0.93, miss: float = 1e-3, block: int = 1024) -> DataFrame:
     """vec_id, linked, root: partial results of tiles over rows (vec_id, label, dim, v, n)."""
-    bits, tables = shape(rows.count(), threshold, miss)
+    sizes = rows.groupBy("label", "dim").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    bits, tables = shape(*sizes, threshold, miss)
     each = written(keyed(rows, bits, tables), "codes").select("*", F.posexplode("keys").alias("table", "key"))
     of = ["label", "dim", "table", "key"]
     split = written(each.groupBy(of).agg(F.count("*").alias("size")).where(F.col("size") > block).select(*of, F.ceil(F.col("size") / block).cast("int").alias("blocks")), "split")
