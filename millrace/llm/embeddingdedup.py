@@ -115,7 +115,7 @@ def links(rows: DataFrame, threshold: float = 0.93, miss: float = 1e-3, block: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[], [], []]
         for key, (side, ids, n, keys, v, code, factor) in groups(batches, 6, alone=False):
-            got = _tile(int(key[2]), key[4] == key[5], side, ids, n, keys.astype(np.int64), v, code, factor, threshold)
+            got = _tile(int(key[2]), key[4] == key[5], side, ids, n, keys.astype(np.int64), v, rabitq.packed(code), factor, threshold)
             if got is not None:
                 for column, x in zip(out, got):
                     column.append(x)

@@ -83,7 +83,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, block: int = 8192,
         for _, (side, ids, v, code, factor) in groups(batches, 3):
             query, base = side == 0, side == 1
             if query.any() and base.any():
-                out = list(_block(ids[query], v[query], ids[base], v[base], code[base], factor[base], k))
+                out = list(_block(ids[query], v[query], ids[base], v[base], rabitq.packed(code[base]), factor[base], k))
                 counts = [len(x[1]) for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], counts)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], names=["query_id", "vec_id", "score"])
 
@@ -93,7 +93,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, block: int = 8192,
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = True):
-    """The key and the other columns' arrays of each run of rows with equal values in the first `keys` columns; list and binary columns become matrices. Only one run is held at a time.
+    """The key and the other columns' arrays of each run of rows with equal values in the first `keys` columns; list columns become matrices, binary ones arrays of their values, which may differ in length. Only one run is held at a time.
     Without `alone`, runs of one row are left out."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -124,7 +124,7 @@ def _joined(held: list[pa.RecordBatch], keys: int) -> list[np.ndarray]:
     out = []
     for c in rows.columns[keys:]:
         c = c.chunk(0) if c.num_chunks else c.combine_chunks()
-        out.append(rabitq.vectors(c) if pa.types.is_list(c.type) else rabitq.packed(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False))
+        out.append(rabitq.vectors(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False))
     return out
 
 

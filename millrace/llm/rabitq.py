@@ -51,9 +51,9 @@ def binary(bits: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(bits), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
 
 
-def packed(column) -> np.ndarray:
-    """The matrix of bytes of such a column."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+def packed(codes) -> np.ndarray:
+    """The matrix of bytes of such a column's values, which are equally long."""
+    return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
 
 
 def by_dim(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:

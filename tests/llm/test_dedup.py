@@ -241,6 +241,16 @@ def test_runs_over_batches(size):
     assert [x for x in every if len(x[1]) > 1] == [(int(key[0]), n.tolist()) for key, (n,) in neighbours.groups(iter(batches), 1, alone=False)]
 
 
+@pytest.mark.parametrize("sizes", [[16, 8, 24], [16, 8, 8], [8, 8, 8]])
+def test_runs_of_uneven_bytes(sizes):
+    """Values of different lengths stay apart, also where they have the total of equal ones."""
+    values = [bytes([k]) * size for k, size in enumerate(sizes)]
+    for cut in (1, 3):
+        whole = pa.RecordBatch.from_arrays([pa.array([7, 7, 7]), pa.array(values, pa.binary())], names=["key", "tokens"])
+        (key, (tokens,)), = neighbours.groups(iter([whole.slice(k, cut) for k in range(0, 3, cut)]), 1)
+        assert key == (7,) and list(tokens) == values
+
+
 def test_repeats_with_clashing_names(spark):
     text = "the same words of a passage that is long enough to be a window of one hundred bytes, and a few more of them"
     df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (None, text, "c")], "doc_id long, text string, spans string").withColumn("__spans", F.lit(1))
