@@ -251,6 +251,28 @@ def test_runs_of_uneven_bytes(sizes):
         assert key == (7,) and list(tokens) == values
 
 
+def uneven_texts():
+    """Classes of sets of 40, 46, 34 and 36 shingles, the second linked with the first alone (40 of 46), and a set of 27 apart. The four have the total of four sets of 39."""
+    rows = []
+    for c in range(4):
+        words = [f"c{c}w{k}" for k in range(50)]
+        rows += [(10 * c + k, " ".join(words[:n])) for k, n in enumerate([43, 49, 37, 39, 30])]
+    return rows
+
+
+def test_jaccard_of_uneven_sets(spark):
+    import duckdb
+
+    rows = uneven_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(10 * c + k, n, 10 * c + (k if k == 4 else 0)) for c in range(4) for k, n in enumerate([40, 46, 34, 36, 27])]
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        assert sorted(con.execute(jaccard.ORACLE).fetchall()) == want
+    assert sorted(tuple(r) for r in jaccard.classes(df).collect()) == want
+
+
 def test_repeats_with_clashing_names(spark):
     text = "the same words of a passage that is long enough to be a window of one hundred bytes, and a few more of them"
     df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (None, text, "c")], "doc_id long, text string, spans string").withColumn("__spans", F.lit(1))
