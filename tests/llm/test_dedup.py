@@ -273,6 +273,16 @@ def test_jaccard_of_uneven_sets(spark):
     assert sorted(tuple(r) for r in jaccard.classes(df).collect()) == want
 
 
+def test_pipeline_of_uneven_sets(spark):
+    """The stage of near duplicates, with sets of 39, 45 and 34 five-word shingles, which are one class."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(50)]
+    df = spark.createDataFrame([(k, " ".join(words[:n])) for k, n in enumerate([43, 49, 38])], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    assert [r.doc_id for r in stage(spark, df, "").collect()] == [0]
+
+
 def test_repeats_with_clashing_names(spark):
     text = "the same words of a passage that is long enough to be a window of one hundred bytes, and a few more of them"
     df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (None, text, "c")], "doc_id long, text string, spans string").withColumn("__spans", F.lit(1))
