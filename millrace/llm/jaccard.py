@@ -121,6 +121,13 @@ def _tiers(n: int, percent: int) -> range:
     return range(max(1, -(-n * percent // 100)).bit_length(), n.bit_length() + 1)
 
 
+def _classes(tier: int, percent: int) -> int:
+    """Classes of frequent tokens in a tier: as many as its smallest set has tokens in its prefix, so that a set's pairs are about twice its prefix and not half its square; fewer than such a set must share."""
+    n = 1 << max(0, tier - 1)
+    least = -(-n * percent // 100)
+    return max(1, min(n - least + 1, least - 1))
+
+
 def signatures(s: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct signatures of a set: tokens alone, and pairs of frequent ones (with frequent tokens alone where there are too few of them)."""
     n = len(s)
@@ -133,11 +140,10 @@ def signatures(s: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarr
     prefix = n - least + 1
     alone, pairs = [hashed[:0]], [hashed[:0]]
     for tier in _tiers(n, percent):
-        classes = max(1, 1 << max(0, tier - 7))
-        classes = min(classes, max(1, least - 1))
         if not common[:prefix].any():
             alone.append(hashed[:prefix])
             continue
+        classes = _classes(tier, percent)
         p = min(n, prefix + classes)
         rare = ~common[:p]
         alone.append(hashed[:p][rare])
@@ -145,11 +151,13 @@ def signatures(s: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarr
         if least < classes + 1:  # too few tokens to promise a second one
             pairs.append(rest)
         of = rest % np.uint64(classes)
-        for c in range(classes):
-            own = rest[of == c]
-            if len(own) > 1:
-                i, j = np.triu_indices(len(own), 1)
-                pairs.append(_mixed(own[i] * _MIX + own[j] + np.uint64(tier)))
+        order = np.argsort(of, kind="stable")
+        of, own = of[order], rest[order]
+        for step in range(1, len(own)):
+            same = of[step:] == of[:-step]
+            if not same.any():
+                break
+            pairs.append(_mixed(own[:-step][same] * _MIX + own[step:][same] + np.uint64(tier)))
     return np.unique(np.concatenate(alone)), np.unique(np.concatenate(pairs))
 
 

@@ -79,6 +79,32 @@ def test_jaccard_of_nothing(spark):
     assert [tuple(r) for r in jaccard.classes(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_of_frequent_tokens_follow_the_prefix(percent):
+    """Where all tokens are frequent, as in a large group of near copies, a set's pairs are a few times its prefix, not the prefix's square."""
+    rng, often = np.random.default_rng(4), np.ones(1 << jaccard.SKETCH_BITS, bool)
+    for n in (30, 60, 100, 120, 300, 1000, 5000):
+        s = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        alone, pairs = jaccard.signatures(s, often, percent)
+        prefix = n - -(-n * percent // 100) + 1
+        assert not len(alone) and len(pairs) <= 4 * prefix * len(jaccard._tiers(n, percent))
+
+
+@pytest.mark.parametrize("percent", [85, 80, 50, 10])
+def test_sets_at_the_threshold_share_a_signature(percent):
+    rng = np.random.default_rng(5)
+    for k in range(400):
+        often = rng.random(1 << jaccard.SKETCH_BITS) < (1, 0.9, 0.5)[k % 3]
+        n = int(rng.choice([1, 2, 3, 7, 8, 9, 20, 63, 64, 100, 150, 700]))
+        m = int(rng.integers(n, max(n, n * 100 // percent) + 1))
+        shared = -(-percent * (n + m) // (100 + percent))
+        s = rng.permutation(np.unique(rng.integers(0, 1 << 64, n + m, np.uint64)))
+        a, b = np.sort(s[:n]), np.sort(s[n - shared : n - shared + m])
+        assert shared <= n and len(np.intersect1d(a, b)) == shared
+        got = [jaccard.signatures(x, often, percent) for x in (a, b)]
+        assert any(len(np.intersect1d(x, y)) for x, y in zip(*got))
+
+
 def test_suffix_order():
     rng = random.Random(2)
     for k in range(1500):
