@@ -132,17 +132,29 @@ def find_path(edges: DataFrame, source: Node, target: Node, max_hops: int = 8, d
     return subgraph(edges, [source], max_hops, direction, types, target=target, **limits)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
-    """Every (table, id) within `hops` of the seeds and its distance, over edges of any size: a semi join of the edges with the frontier for each hop, then the least number of hops of each node."""
-    out = edges.select(F.struct(F.col("source_table").alias("table"), F.col("source_id").alias("id")).alias("x"), F.struct(F.col("target_table").alias("table"), F.col("target_id").alias("id")).alias("y"))
+#: Rows of links and seeds for each partition of reach(), and the parts into which a node's incoming rows are dealt before they become one.
+SHARE, PARTS = 1 << 18, 32
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out", share: int = SHARE) -> DataFrame:
+    """Every (table, id) within `hops` of the seeds and its distance, over edges of any size: a semi join of the edges with the frontier for each hop, then the least number of hops of each node.
+
+    Rows of nodes shrink so much in a shuffle that partitions by bytes would hold tens of millions; the number of partitions follows the counted rows instead, so a task's memory stays as it is.
+    Rows that lead to a node are dealt by where they come from first, so a node of many edges isn't gathered from all of them in one task.
+    """
+    out = edges.select(F.struct(F.col("source_id").alias("id"), F.col("source_table").alias("table")).alias("x"), F.struct(F.col("target_id").alias("id"), F.col("target_table").alias("table")).alias("y"))
     back = out.select(F.col("y").alias("x"), F.col("x").alias("y"))
     links = out if direction == "out" else back if direction == "in" else out.unionByName(back)
-    frontier = seeds.select(F.struct("table", "id").alias("x")).distinct()
+    frontier = seeds.select(F.struct("id", "table").alias("x"))
+    n = max(1, -(-links.select("x").unionAll(frontier).count() // share))
+    links, frontier = links.repartition(n, "x"), frontier.repartition(n, "x").distinct()
     found = frontier.withColumn("hops", F.lit(0))
     for k in range(1, hops + 1):
-        frontier = links.join(frontier, "x", "left_semi").select(F.col("y").alias("x")).distinct()
+        # an inner join with distinct nodes, for a semi join is pushed below repartition()
+        to = links.join(frontier, "x").select(F.col("y").alias("x"), F.pmod(F.hash("x"), F.lit(PARTS)).alias("part"))
+        frontier = to.repartition(n, "x", "part").distinct().select("x").repartition(n, "x").distinct()
         found = found.unionByName(frontier.withColumn("hops", F.lit(k)))
-    return found.groupBy("x").agg(F.min("hops").alias("hops")).select("x.table", "x.id", "hops")
+    return found.repartition(n, "x").groupBy("x").agg(F.min("hops").alias("hops")).select("x.table", "x.id", "hops")
 
 
 def search_graph(found: Sequence[tuple[str, DataFrame]], edges: DataFrame, top_k: int, max_hops: int, **options) -> tuple[list[tuple[float, Node]], Walk]:

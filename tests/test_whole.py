@@ -2,7 +2,9 @@
 
 import pytest
 
-from millrace.operators import suite
+from pyspark.sql import functions as F
+
+from millrace.operators import graph, suite
 from millrace.operators.native import fresh
 from millrace.sources.catalog import Conflict
 from millrace.sources.schema import Constraint, Field, SchemaError, TableSchema
@@ -26,6 +28,20 @@ def test_reach_of_every_order(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_reach_keeps_partitions_small(spark):
+    """Rows of nodes are a few bytes each in a shuffle, so that partitions by bytes held all of them; half of the edges lead to one node."""
+    rows = 1_200_000
+    orders = spark.range(rows)
+    edges = orders.select(
+        F.lit("places").alias("relation"), "id", F.lit("orders").alias("source_table"), F.col("id").alias("source_id"), F.lit("customer").alias("target_table"),
+        F.expr("if(id % 2 = 0, 0, id div 10)").alias("target_id"), F.lit("places").alias("type"),
+    )
+    got = graph.reach(edges, orders.select(F.lit("orders").alias("table"), "id"), 2)
+    each = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == rows + rows // 10 and max(each) <= 1 << 18
+    assert [tuple(r) for r in got.groupBy("table", "hops").count().orderBy("hops").collect()] == [("orders", 0, rows), ("customer", 1, rows // 10)]
+
+
 def test_append_of_a_data_frame(spark):
     ns = fresh(spark)
     ns.create_table("pots", TableSchema([Field("name", "string", required=True), Field("glaze", "string", enum=["red", "blue"]), Field("v", "vector", dim=2), Field("n", "number", default=7)], constraints=[Constraint("one", "unique", ["name"])]))
