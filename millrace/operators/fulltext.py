@@ -7,14 +7,15 @@ Catalyst expressions. Corpus statistics cover all rows, whatever the filter. Sco
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, stem, words
+from ..functions.arrow import lean, release, slices
+from ..functions.text import STOP_WORDS, WORD, folded, stem, words
 
 K1, B = 1.2, 0.75
 TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<word>[^\s()"]+))')
@@ -148,23 +149,40 @@ def phrases(tree) -> list[Phrase]:
 
 
 def profile(every: list[Term], wanted: list[Phrase], stemming: bool):
-    """The pandas UDF from a document's fields to its length, how often each term is in it (a prefix may match a word or its stem), and which phrases are."""
-
-    @F.pandas_udf("length int, counts array<int>, phrases array<boolean>")
-    def of(*fields: pd.Series) -> pd.DataFrame:
-        runs = [" " + " ".join(p.words) + " " for p in wanted]
-        out = []
-        for texts in zip(*fields):
-            lists = [words(t) if t else [] for t in texts]
-            raw = Counter(w for own in lists for w in own)
-            kinds = {w: stem(w) for w in raw} if stemming else {w: w for w in raw}
-            stems: Counter = Counter()
-            for w, n in raw.items():
-                stems[kinds[w]] += n
-            counts = [sum(n for w, n in raw.items() if w.startswith(t.word) or kinds[w].startswith(t.word)) if t.prefix else stems[t.word] for t in every]
-            rows = [" " + " ".join([kinds[w] for w in own]) + " " for own in lists] if runs else []
-            out.append((sum(map(len, lists)), counts, [any(run in row for row in rows) for run in runs]))
-        return pd.DataFrame(out, columns=["length", "counts", "phrases"])
+    """The Arrow UDF from a struct of a document's fields to its length, how often each term is in it (a prefix may match a word or its stem), and which phrases are; texts are taken in slices of a few MB."""
+    runs = [" " + " ".join(p.words) + " " for p in wanted]
+
+    def told(fields: list[str]) -> tuple[int, list[int], list[bool]]:
+        length, counts, found = 0, [0] * len(every), [False] * len(runs)
+        for text in fields:
+            whole = folded(text)
+            own = WORD.findall(whole)
+            length += len(own)
+            kinds = [stem(w) for w in own] if stemming else own
+            # without stems a term's word is in the text as it is, which is faster to look for than words are to compare
+            for k, t in enumerate(every):
+                if t.prefix:
+                    if stemming or t.word in whole:
+                        counts[k] += sum(w.startswith(t.word) or s.startswith(t.word) for w, s in zip(own, kinds))
+                elif stemming or t.word in whole:
+                    counts[k] += kinds.count(t.word)
+            for k, run in enumerate(runs):
+                if not found[k] and (stemming or all(w in whole for w in wanted[k].words)):
+                    found[k] = run in " " + " ".join(kinds) + " "
+        return length, counts, found
+
+    @F.arrow_udf("length int, counts array<int>, phrases array<boolean>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                lengths, counts, found = [], [], []
+                for some in slices([pa.RecordBatch.from_arrays(batch.flatten(), [str(k) for k in range(batch.type.num_fields)])]):
+                    for fields in zip(*[c.to_pylist() for c in some.columns]):
+                        length, n, yes = told(fields)
+                        lengths.append(length), counts.append(n), found.append(yes)
+                yield pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.bool_()))], ["length", "counts", "phrases"])
+        finally:
+            release()
 
     return of
 
@@ -182,11 +200,12 @@ def search(rows: DataFrame, text: str, fields: list[str], id_column: str = "id",
     tree = Parser(text, stemming).parse()
     if tree is None:
         return rows.limit(0).withColumn("_score", F.lit(0.0))
+    lean(rows.sparkSession)
     every, wanted = all_terms(tree), phrases(tree)
     mine = "profile_of_search"
     while mine in rows.columns:
         mine += "_"
-    counted = rows.select("*", profile(every, wanted, stemming)(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).alias(mine))
+    counted = rows.select("*", profile(every, wanted, stemming)(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(str(k)) for k, f in enumerate(fields)])).alias(mine))
     counts = {t: F.col(mine)["counts"][k] for k, t in enumerate(every)}
     scored = terms(tree)
     stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg(F.col(mine)["length"]).alias("mean"), F.array(*[F.sum((counts[t] > 0).cast("long")) for t in scored]).alias("holding")).alias(f"{mine}_stats"))

@@ -1,10 +1,12 @@
 """Queries over whole tables: nothing is left out by an id, and small fixtures against brute force."""
 
-import pytest
+import tracemalloc
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, suite
+from millrace.operators import fulltext, graph, suite
 from millrace.operators.native import fresh
 from millrace.sources.catalog import Conflict
 from millrace.sources.schema import Constraint, Field, SchemaError, TableSchema
@@ -86,3 +88,26 @@ def test_subscribers_see_committed_changes_only(spark, tmp_path):
     assert (3, 1) in seen
     assert ns.vacuum() == 0 and ns.vacuum(grace=0) > 0 and ns.describe_table("notes")["rows"] == 2
     assert sorted(r.a for r in ns.table("notes").collect()) == ["y", "z"]
+
+
+def test_search_holds_few_texts_at_once(spark):
+    """A batch of 20 MB is taken in slices, and Spark sends batches of 4 MB, unless the session has its own setting."""
+    texts = pa.array([f"thunder {k} " + "rolling on the hills " * 100 for k in range(10_000)])
+    batch = pa.StructArray.from_arrays([texts], ["0"])
+    of = fulltext.profile([fulltext.Term("thunder"), fulltext.Term("hil", True)], [fulltext.Phrase(("the", "hills"))], False).func
+    tracemalloc.start()
+    try:
+        got = list(of(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < texts.nbytes / 2
+    finally:
+        tracemalloc.stop()
+    assert [len(x) for x in got] == [10_000] and got[0][9_999].as_py() == {"length": 402, "counts": [1, 100], "phrases": [True]}
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        rows = spark.createDataFrame([(1, "rolling thunder"), (2, None), (3, "thunder, Rolling")], "id long, text string")
+        assert [r.id for r in fulltext.search(rows, '"rolling thunder"', ["text"], stemming=False).collect()] == [1]
+        assert int(spark.conf.get(key)) == 4 << 20
+    finally:
+        spark.conf.set(key, own)
