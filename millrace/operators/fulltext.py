@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import lean, release, slices
-from ..functions.text import STOP_WORDS, WORD, folded, stem, words
+from ..functions.text import STOP_WORDS, folded, split, stem, words
 
 K1, B = 1.2, 0.75
 TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<word>[^\s()"]+))')
@@ -156,7 +156,7 @@ def profile(every: list[Term], wanted: list[Phrase], stemming: bool):
         length, counts, found = 0, [0] * len(every), [False] * len(runs)
         for text in fields:
             whole = folded(text)
-            own = WORD.findall(whole)
+            own = split(whole)
             length += len(own)
             kinds = [stem(w) for w in own] if stemming else own
             # without stems a term's word is in the text as it is, which is faster to look for than words are to compare
